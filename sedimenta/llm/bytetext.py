@@ -91,7 +91,7 @@ def word_classes(separators: bytes) -> np.ndarray:
 
 #: Separators of the contracts: white space alone, or all ASCII that is neither letter nor digit.
 SPACES = bytes([32, *range(9, 14)])
-NOT_ALNUM = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+NOT_ALNUM = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
 class Words:
@@ -99,13 +99,8 @@ class Words:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, separators: bytes):
         table = word_classes(separators)
-        if separators is NOT_ALNUM:
-            table[65:91] = np.arange(97, 123, dtype=np.uint8)  # lower-cased before words are taken
-        is_sep = np.ones(256, bool)
-        is_sep[:] = False
+        is_sep = np.zeros(256, bool)
         is_sep[np.frombuffer(separators, np.uint8)] = True
-        if separators is NOT_ALNUM:
-            is_sep[65:91] = False
         low = table[data]
         inside = ~is_sep[data]
         n = len(data)
