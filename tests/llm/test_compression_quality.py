@@ -28,6 +28,7 @@ def test_without_labels(spark):
 
 
 def test_raw_score_is_the_size_difference():
-    m = cq.Model(cq.dictionary([b"good text here %d" % i for i in range(9)]), cq.dictionary([b"### $$$ %d" % i for i in range(9)]))
-    r = m.raw([b"good text here and good text", b"### $$$ ###", b""])
+    good, bad = ([" ".join(f"{w}{(i * k) % 97}" for k in range(1, 60)).encode() for i in range(200)] for w in ("calm", "###$"))
+    m = cq.Model(cq.dictionary(good), cq.dictionary(bad))
+    r = m.raw([good[3], bad[3], b""])
     assert r[0] > 0 > r[1] and np.isfinite(r).all()
