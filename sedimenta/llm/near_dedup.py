@@ -7,9 +7,9 @@ has no empty bin. The share of equal coordinates estimates the Jaccard similarit
 
 Texts with equal shingle sets form a class first, so thousands of copies cost one row from then on. Bands of
 ROWS coordinates put classes in buckets. A bucket of up to SMALL classes compares them pairwise; a larger one goes by
-pivots: all are compared with one class, the classes that it links form one component, and the rest goes on until
-each class has been a pivot or the bucket lies in one component. So no pair of a bucket is left out unless both are
-known to be in one component, and no task emits all pairs of a large group. Links are confirmed on whole shingle sets.
+pivots: each class is compared with one class of the bucket, then those outside the main component with a class
+of it, and what is still outside with all others, in blocks of sketches. So a pair of a bucket is left out only where both
+are known to be in one component, and no group emits all its pairs. Links are confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ COORDS, ROWS = 256, 8
 SHINGLE = 5
 #: Largest bucket whose classes are compared pairwise.
 SMALL = 32
+#: Rounds of pivots in larger buckets, and classes of a block in the comparison of what is left.
+PIVOTS, BLOCK = 2, 128
 #: Pairs that one copy of a sketch or shingle set serves.
 PER_COPY = 256
 
@@ -158,13 +160,14 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    edges, before = stored(links.select("a", "b").filter("a <> b").distinct(), "edges"), None
+    edges = stored(links.select("a", "b").filter("a <> b").distinct(), "edges")
     while True:
         edges = stored(star(stored(star(edges, True), "large"), False), "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when all are stars: no vertex has two parents, and no parent has one
+        twice = edges.groupBy("a").count().filter("count > 1").select("a")
+        chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+        if not twice.unionByName(chained).limit(1).count():
             break
-        before = now
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
@@ -207,11 +210,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.select(F.posexplode("m").alias("i", "b"), "m").select(F.explode(F.expr("slice(m, i + 2, size(m))")).alias("a"), "b")
     low = classes.select("cls", "low")
 
+    least = int(coords * (num / den - 4 * (num / den * (1 - num / den) / coords) ** 0.5))
+
     def compare(pairs: DataFrame) -> DataFrame:
         """Sketches first (four standard deviations below the threshold), then whole sets."""
-        least = int(coords * (num / den - 4 * (num / den * (1 - num / den) / coords) ** 0.5))
         p = _side_by_side(pairs.distinct(), low.withColumnRenamed("low", "v"))
-        p = stored(p.mapInArrow(_near(least), "a binary, b binary"), "near")
+        return confirm(stored(p.mapInArrow(_near(least), "a binary, b binary"), "near"))
+
+    def confirm(p: DataFrame) -> DataFrame:
         need = p.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         need = stored(need.join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "need")
         text = src.join(need, src.id.eqNullSafe(need.rep), "left_semi")
@@ -223,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.filter(F.col("c") > SMALL)
     found = [links]
     if large.limit(1).count():
-        found += _pivots(large, compare, found)
+        found += _large_buckets(large, low, compare, confirm, least, found)
     links = reduce(DataFrame.unionByName, found)
     roots = components(links)
     top = classes.select("cls", "rep").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
@@ -234,22 +240,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lead").alias("component_id"), F.col("id").eqNullSafe(F.col("lead")).alias("kept"))
 
 
-def _pivots(large: DataFrame, compare, found: list[DataFrame]) -> list[DataFrame]:
-    """Rounds over large buckets: each round compares a bucket's classes with one pivot, then drops classes that
-    were pivots, and buckets that lie in one component."""
+def _blocks(least: int):
+    """Pairs of a block of stragglers and a block of members whose sketches agree in at least that many coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = []
+            for s, m in zip(batch.column("s").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                a, b = (np.frombuffer(b"".join(x["low"] for x in v), np.uint8).reshape(len(v), -1) for v in (s, m))
+                for i in range(len(s)):
+                    for j in np.flatnonzero((b == a[i]).sum(axis=1) >= least):
+                        if m[j]["root"] != s[i]["root"]:
+                            pairs.append((s[i]["cls"], m[j]["cls"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _large_buckets(large: DataFrame, low: DataFrame, compare, confirm, least: int, found: list[DataFrame]) -> list[DataFrame]:
+    """Links of large buckets. PIVOTS rounds compare each class outside its bucket's main component with one pivot of it (at
+    first with any pivot). Then the stragglers, classes that are still outside, are compared with all classes of the
+    bucket that aren't in their component, in blocks of BLOCK by BLOCK sketches."""
     out: list[DataFrame] = []
-    left = large.select("band", "cls", F.col("cls").alias("order"), F.lit(False).alias("was"))
-    while True:
-        roots = components(reduce(DataFrame.unionByName, [*found, *out]))
-        at = left.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        # components that are still apart in a bucket: the pivot is the least class that was no pivot yet
-        per = at.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.when(~F.col("was"), F.struct("cls", "root"))).alias("p"))
-        per = stored(per.filter("r0 <> r1 and p is not null").select("band", F.col("p.cls").alias("pivot"), F.col("p.root").alias("proot")), "pivots")
-        if not per.limit(1).count():
-            return out
-        at = stored(at.join(per, "band"), "apart")
-        out.append(compare(at.filter("root <> proot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))))
-        left = at.select("band", "cls", "order", (F.col("was") | (F.col("cls") == F.col("pivot"))).alias("was"))
+    for k in range(PIVOTS + 1):
+        at = large.select("band", "cls")
+        if k:
+            roots = components(reduce(DataFrame.unionByName, [*found, *out]))
+            at = at.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+            sizes = at.groupBy("band", "root").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64(F.lit(k), "band", "cls").alias("h"), F.col("cls").alias("pivot"))).alias("p"))
+            main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "p.pivot")).alias("m"), F.count("*").alias("parts"))
+            main = stored(main.filter("parts > 1").select("band", F.col("m.root").alias("main"), F.col("m.pivot").alias("pivot")), "main")
+            at = stored(at.join(main, "band"), "at")
+        else:
+            pivot = at.groupBy("band").agg(F.max(F.struct(F.xxhash64(F.lit(k), "band", "cls").alias("h"), F.col("cls").alias("pivot"))).alias("p"))
+            at = at.join(stored(pivot.select("band", "p.pivot"), "pivot"), "band").withColumn("root", F.col("cls")).withColumn("main", F.col("pivot"))
+        if k < PIVOTS:
+            out.append(compare(at.filter("root <> main and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    item = F.collect_list(F.struct("cls", "root", "low"))
+    full = at.join(low, "cls").join(stored(at.groupBy("band").agg(F.count("*").alias("n")), "sizes"), "band")
+    full = full.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    members = stored(full.groupBy("band", "block").agg(item.alias("m")), "member_blocks")
+    strays = full.filter("root <> main").groupBy("band", "block").agg(item.alias("s")).drop("block")
+    pairs = members.join(strays, "band").select("s", "m").mapInArrow(_blocks(least), "a binary, b binary")
+    out.append(confirm(stored(pairs.filter("a <> b").distinct(), "block_pairs")))
+    return out
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
