@@ -27,7 +27,7 @@ from sedimenta.llm.common import release, stored, table, text_of
 COORDS, ROWS = 256, 8
 SHINGLE = 5
 #: Largest bucket whose classes are compared pairwise.
-SMALL = 32
+SMALL = 8
 #: Rounds of pivots in larger buckets, and classes of a block in the comparison of what is left.
 PIVOTS, BLOCK = 2, 128
 #: Pairs that one copy of a sketch or shingle set serves.
