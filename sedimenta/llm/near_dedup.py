@@ -8,7 +8,7 @@ has no empty bin. The share of equal coordinates estimates the Jaccard similarit
 Texts with equal shingle sets form a class first, so thousands of copies cost one row from then on. Bands of
 ROWS coordinates put classes in buckets. A bucket of up to SMALL classes compares them pairwise; a larger one goes by
 pivots: each class is compared with one class of the bucket, then those outside the main component with a class
-of it, and what is still outside with all others, in blocks of sketches. So a pair of a bucket is left out only where both
+of it, and what is still outside with all others, in blocks. So a pair of a bucket is left out only where both
 are known to be in one component, and no group emits all its pairs. Links are confirmed on whole shingle sets.
 """
 
@@ -18,18 +18,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytetext import SPACES, U, Words, chunks, column, gram_hash, mix
-from sedimenta.llm.common import release, stored, table, text_of
+from sedimenta.llm.common import release, small_batches, stored, table, text_of
 
 COORDS, ROWS = 256, 8
 SHINGLE = 5
 #: Largest bucket whose classes are compared pairwise.
 SMALL = 8
-#: Rounds of pivots in larger buckets, and classes of a block in the comparison of what is left.
-PIVOTS, BLOCK = 2, 128
+#: Rounds of pivots in larger buckets, and sizes of the blocks in the comparison of what is left.
+PIVOTS, MEMBERS, STRAYS = 2, 64, 256
 #: Pairs that one copy of a sketch or shingle set serves.
 PER_COPY = 256
 
@@ -125,11 +125,7 @@ def _confirm(num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("va"), batch.column("vb"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-                both = len(np.intersect1d(a, b, assume_unique=True)) if num * max(len(a), len(b)) <= den * min(len(a), len(b)) else 0
-                keep.append(both > 0 and den * both >= num * (len(a) + len(b) - both))
+            keep = [_linked(np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U), num, den) for a, b in zip(batch.column("va"), batch.column("vb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -217,11 +213,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = _side_by_side(pairs.distinct(), low.withColumnRenamed("low", "v"))
         return confirm(stored(p.mapInArrow(_near(least), "a binary, b binary"), "near"))
 
+    def sets_of(need: DataFrame) -> DataFrame:
+        """(cls, v): whole shingle sets of the classes in need, from the text of one document of each."""
+        reps = stored(need.join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "need")
+        text = src.join(reps, src.id.eqNullSafe(reps.rep), "left_semi")
+        return stored(text.select("text").mapInArrow(_sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
+
     def confirm(p: DataFrame) -> DataFrame:
-        need = p.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        need = stored(need.join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "need")
-        text = src.join(need, src.id.eqNullSafe(need.rep), "left_semi")
-        sets = stored(text.select("text").mapInArrow(_sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
+        sets = sets_of(p.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         return stored(_side_by_side(p, sets).mapInArrow(_confirm(num, den), "a binary, b binary"), "links")
 
     links = compare(pairs)
@@ -229,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.filter(F.col("c") > SMALL)
     found = [links]
     if large.limit(1).count():
-        found += _large_buckets(large, low, compare, confirm, least, found)
+        found += _large_buckets(large, classes, compare, sets_of, least, num, den, found)
     links = reduce(DataFrame.unionByName, found)
     roots = components(links)
     top = classes.select("cls", "rep").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
@@ -240,27 +239,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lead").alias("component_id"), F.col("id").eqNullSafe(F.col("lead")).alias("kept"))
 
 
-def _blocks(least: int):
-    """Pairs of a block of stragglers and a block of members whose sketches agree in at least that many coordinates."""
+def _blocks(least: int, num: int, den: int):
+    """Links between a block of stragglers and a block of members, one for each straggler and component. A pair is
+    looked at in the first band that both share, sketches first, then whole sets."""
 
     def run(batches):
         for batch in batches:
-            pairs = []
-            for s, m in zip(batch.column("s").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                a, b = (np.frombuffer(b"".join(x["low"] for x in v), np.uint8).reshape(len(v), -1) for v in (s, m))
-                for i in range(len(s)):
-                    for j in np.flatnonzero((b == a[i]).sum(axis=1) >= least):
-                        if m[j]["root"] != s[i]["root"]:
-                            pairs.append((s[i]["cls"], m[j]["cls"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+            links = []
+            for band, s, m in zip(*(batch.column(c).to_pylist() for c in ("k", "s", "m")), strict=True):
+                (la, ba), (lb, bb) = ((np.frombuffer(b"".join(x["low"] for x in v), np.uint8).reshape(len(v), -1), np.array([x["bands"] for x in v])) for v in (s, m))
+                for i, x in enumerate(s):
+                    near = (lb == la[i]).sum(axis=1) >= least
+                    done = {x["root"]}
+                    for j in np.flatnonzero(near & ((bb == ba[i]).argmax(axis=1) == band)):
+                        if m[j]["root"] not in done and _linked(np.frombuffer(x["v"], U), np.frombuffer(m[j]["v"], U), num, den):
+                            links.append((x["cls"], m[j]["cls"]))
+                            done.add(m[j]["root"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _large_buckets(large: DataFrame, low: DataFrame, compare, confirm, least: int, found: list[DataFrame]) -> list[DataFrame]:
+def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have den * intersection >= num * union."""
+    if num * max(len(a), len(b)) > den * min(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and den * both >= num * (len(a) + len(b) - both)
+
+
+def _large_buckets(large: DataFrame, signs: DataFrame, compare, sets_of, least: int, num: int, den: int, found: list[DataFrame]) -> list[DataFrame]:
     """Links of large buckets. PIVOTS rounds compare each class outside its bucket's main component with one pivot of it (at
     first with any pivot). Then the stragglers, classes that are still outside, are compared with all classes of the
-    bucket that aren't in their component, in blocks of BLOCK by BLOCK sketches."""
+    bucket that aren't in their component, in blocks."""
     out: list[DataFrame] = []
     for k in range(PIVOTS + 1):
         at = large.select("band", "cls")
@@ -276,14 +287,16 @@ def _large_buckets(large: DataFrame, low: DataFrame, compare, confirm, least: in
             at = at.join(stored(pivot.select("band", "p.pivot"), "pivot"), "band").withColumn("root", F.col("cls")).withColumn("main", F.col("pivot"))
         if k < PIVOTS:
             out.append(compare(at.filter("root <> main and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    item = F.collect_list(F.struct("cls", "root", "low"))
-    full = at.join(low, "cls").join(stored(at.groupBy("band").agg(F.count("*").alias("n")), "sizes"), "band")
-    full = full.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    members = stored(full.groupBy("band", "block").agg(item.alias("m")), "member_blocks")
-    strays = full.filter("root <> main").groupBy("band", "block").agg(item.alias("s")).drop("block")
-    pairs = members.join(strays, "band").select("s", "m").mapInArrow(_blocks(least), "a binary, b binary")
-    out.append(confirm(stored(pairs.filter("a <> b").distinct(), "block_pairs")))
+    n = stored(at.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    full = at.join(signs.select("cls", "bands", "low"), "cls").join(sets_of(at.select("cls").distinct()), "cls").join(n, "band")
+    dealt = lambda size: F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / size).cast("int")).cast("int").alias("block")
+    item = F.collect_list(F.struct("cls", "root", "bands", "low", "v"))
+    members = stored(full.groupBy("band", dealt(MEMBERS)).agg(item.alias("m"), F.min(F.array_position("bands", F.col("band")) - 1).alias("k")), "member_blocks")
+    strays = stored(full.filter("root <> main").groupBy("band", dealt(STRAYS)).agg(item.alias("s")), "stray_blocks")
+    spark = large.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row is two blocks
+    out.append(stored(members.join(strays, "band").select(F.col("k").cast("int").alias("k"), "s", "m").mapInArrow(_blocks(least, num, den), "a binary, b binary"), "links"))
+    small_batches(spark)
     return out
 
 
