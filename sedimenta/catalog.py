@@ -1,4 +1,8 @@
 """Queries of the library by name, each with the SQL that says the same."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from sedimenta.operators import graph, incremental, relational, retrieval, texts
+from sedimenta.plans.registry import QUERIES, SQL
+
+MODULES = (graph, incremental, relational, retrieval, texts)
+
+__all__ = ["MODULES", "QUERIES", "SQL"]
