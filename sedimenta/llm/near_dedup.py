@@ -29,7 +29,7 @@ SHINGLE = 5
 #: Largest bucket whose classes are compared pairwise.
 SMALL = 8
 #: Rounds of pivots in larger buckets, and sizes of the blocks in the comparison of what is left.
-PIVOTS, MEMBERS, STRAYS = 2, 64, 256
+PIVOTS, MEMBERS, STRAYS = 1, 64, 256
 #: Pairs that one copy of a sketch or shingle set serves.
 PER_COPY = 256
 
@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sig.filter("cls is not null")
     classes = stored(full.groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
     spread = classes.select("cls", F.explode("bands").alias("band"))
-    size = stored(spread.groupBy("band").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).filter("c > 1"), "buckets")
+    pivot = F.max(F.struct(F.xxhash64("band", "cls").alias("h"), "cls"))
+    size = stored(spread.groupBy("band").agg(F.count("*").alias("c"), pivot.alias("p")).filter("c > 1").select("band", "c", F.col("p.cls").alias("pivot")), "buckets")
     members = stored(spread.join(size, "band").select("band", "cls", "c", "pivot"), "members")
     small = members.filter(F.col("c") <= SMALL)
     pairs = small.groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(need: DataFrame) -> DataFrame:
         """(cls, v): whole shingle sets of the classes in need, from the text of one document of each."""
-        reps = stored(need.join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "need")
+        reps = need.join(classes.select("cls", "rep"), "cls").select("rep")
         text = src.join(reps, src.id.eqNullSafe(reps.rep), "left_semi")
         return stored(text.select("text").mapInArrow(_sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
 
@@ -273,29 +274,25 @@ def _large_buckets(large: DataFrame, signs: DataFrame, compare, sets_of, least:
     first with any pivot). Then the stragglers, classes that are still outside, are compared with all classes of the
     bucket that aren't in their component, in blocks."""
     out: list[DataFrame] = []
+    at = large.select("band", "cls", "pivot", F.col("cls").alias("root"), F.col("pivot").alias("main"))
     for k in range(PIVOTS + 1):
-        at = large.select("band", "cls")
         if k:
             roots = components(reduce(DataFrame.unionByName, [*found, *out]))
-            at = at.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+            at = large.select("band", "cls").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
             sizes = at.groupBy("band", "root").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64(F.lit(k), "band", "cls").alias("h"), F.col("cls").alias("pivot"))).alias("p"))
-            main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "p.pivot")).alias("m"), F.count("*").alias("parts"))
-            main = stored(main.filter("parts > 1").select("band", F.col("m.root").alias("main"), F.col("m.pivot").alias("pivot")), "main")
+            main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "p.pivot")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+            main = stored(main.filter("parts > 1").select("band", F.col("m.root").alias("main"), F.col("m.pivot").alias("pivot"), "n"), "main")
             at = stored(at.join(main, "band"), "at")
-        else:
-            pivot = at.groupBy("band").agg(F.max(F.struct(F.xxhash64(F.lit(k), "band", "cls").alias("h"), F.col("cls").alias("pivot"))).alias("p"))
-            at = at.join(stored(pivot.select("band", "p.pivot"), "pivot"), "band").withColumn("root", F.col("cls")).withColumn("main", F.col("pivot"))
         if k < PIVOTS:
             out.append(compare(at.filter("root <> main and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))))
-    n = stored(at.groupBy("band").agg(F.count("*").alias("n")), "sizes")
-    full = at.join(signs.select("cls", "bands", "low"), "cls").join(sets_of(at.select("cls").distinct()), "cls").join(n, "band")
+    full = at.join(signs.select("cls", "bands", "low"), "cls").join(sets_of(at.select("cls").distinct()), "cls")
     dealt = lambda size: F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / size).cast("int")).cast("int").alias("block")
     item = F.collect_list(F.struct("cls", "root", "bands", "low", "v"))
-    members = stored(full.groupBy("band", dealt(MEMBERS)).agg(item.alias("m"), F.min(F.array_position("bands", F.col("band")) - 1).alias("k")), "member_blocks")
-    strays = stored(full.filter("root <> main").groupBy("band", dealt(STRAYS)).agg(item.alias("s")), "stray_blocks")
+    members = full.groupBy("band", dealt(MEMBERS)).agg(item.alias("m"), F.min(F.array_position("bands", F.col("band")) - 1).alias("k"))
+    strays = full.filter("root <> main").groupBy("band", dealt(STRAYS)).agg(item.alias("s"))
     spark = large.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row is two blocks
-    out.append(stored(members.join(strays, "band").select(F.col("k").cast("int").alias("k"), "s", "m").mapInArrow(_blocks(least, num, den), "a binary, b binary"), "links"))
+    out.append(stored(members.join(strays.drop("block"), "band").select(F.col("k").cast("int").alias("k"), "s", "m").mapInArrow(_blocks(least, num, den), "a binary, b binary"), "links"))
     small_batches(spark)
     return out
 
