@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import text_of
 
 
+def trim() -> None:
+    """Gives memory that training no longer needs back to the system; the driver has other work to do after it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def remainder(id_col: str, mod: int):
     """crc32 of the id as text, modulo mod (null ids: of the empty text)."""
     return F.crc32(F.encode(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "utf-8")) % mod
