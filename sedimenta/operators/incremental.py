@@ -35,13 +35,14 @@ def replace_partition(df: DataFrame, path: str, column: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-_SNAP = "o AS (SELECT doc_id, sha1(text) AS h, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, sha1(text) AS h, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 3 <> 1)"
+_SNAP = """o AS (SELECT doc_id, sha1(text) AS h, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS rn FROM (SELECT doc_id, sha1(CASE WHEN lang = 'en' THEN text || '!' ELSE text END) AS h FROM documents))"""
 
 
 @query("k10_multiset_diff", f"WITH {_SNAP} SELECT coalesce(o.h, n.h) AS hash, o.doc_id AS old_id, n.doc_id AS new_id, CASE WHEN o.doc_id IS NULL THEN 'fresh' WHEN n.doc_id IS NULL THEN 'stale' ELSE 'reused' END AS state FROM o FULL JOIN n ON o.h = n.h AND o.rn = n.rn")
 def k10(t):
-    d = t.documents.select("doc_id", F.sha1("text").alias("h"))
-    return multiset_diff(d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 3 <> 1"), "h", "doc_id")
+    new = F.when(c("lang") == "en", F.concat("text", F.lit("!"))).otherwise(c("text"))
+    return multiset_diff(t.documents.select("doc_id", F.sha1("text").alias("h")), t.documents.select("doc_id", F.sha1(new).alias("h")), "h", "doc_id")
 
 
 @query("u07_diff_counts", f"WITH {_SNAP}, x AS (SELECT CASE WHEN o.doc_id IS NULL THEN 'fresh' WHEN n.doc_id IS NULL THEN 'stale' ELSE 'reused' END AS state FROM o FULL JOIN n ON o.h = n.h AND o.rn = n.rn) SELECT state, count(*) AS n FROM x GROUP BY 1")
@@ -49,11 +50,12 @@ def u07(t):
     return k10(t).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("k03_upsert", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey < 800 THEN 'merged' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey < 800 UNION ALL SELECT o_orderkey, o_custkey, 'merged' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey >= 800 AND o_orderkey < 1200")
+@query("k03_upsert", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'merged' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderpriority = '1-URGENT'")
 def k03(t):
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
-    new = o.filter("o_orderkey % 2 = 0 and o_orderkey < 1200").withColumn("o_orderstatus", F.lit("merged")).withColumn("o_custkey", c("o_custkey"))
-    return upsert(o.filter("o_orderkey < 800"), new, ["o_orderkey"], ["o_orderstatus"])
+    """The store has the older orders; the urgent ones of all years arrive with a new state."""
+    cols = ("o_orderkey", "o_custkey", "o_orderstatus")
+    new = t.orders.filter("o_orderpriority = '1-URGENT'").withColumn("o_orderstatus", F.lit("merged")).select(*cols)
+    return upsert(t.orders.filter("o_orderdate < timestamp '1997-01-01'").select(*cols), new, ["o_orderkey"], ["o_orderstatus"])
 
 
 @query("k07_delete_not_in", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -67,13 +69,13 @@ def k08(t):
     return t.customer.join(n, c("o_custkey") == c("c_custkey"), "left").select("c_custkey", F.coalesce("n", c("c_nationkey").cast("long")).alias("v"))
 
 
-@query("k12_json_merge", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events WHERE event_id % 5 = 0""")
+@query("k12_json_merge", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events""")
 def k12(t):
     """A map merge in which the right side wins."""
     old = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("n"), F.lit("0")))
     new = F.map_filter(old, lambda k, _: k != "kind")
     merged = F.map_concat(new, F.create_map(F.lit("kind"), c("event_type")))
-    return t.events.filter("event_id % 5 = 0").select("event_id", merged["k"].cast("long").alias("k"), merged["kind"].alias("kind"))
+    return t.events.select("event_id", merged["k"].cast("long").alias("k"), merged["kind"].alias("kind"))
 
 
 @query("k13_insert_if_absent", "SELECT p_partkey FROM part WHERE p_size > 25 UNION SELECT l_partkey FROM lineitem WHERE l_quantity < 10")

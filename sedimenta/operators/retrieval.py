@@ -111,5 +111,5 @@ def r16(t):
 
 @query("r14_overlap_dedup")
 def r14(t):
-    h = t.orders.select((c("o_custkey") % 50).alias("qid"), c("o_orderpriority").alias("path"), (c("o_orderkey") % 200).alias("start"), (c("o_orderkey") % 200 + 10 + c("o_orderkey") % 23).alias("end"), c("o_totalprice").alias("score"))
+    h = t.orders.select(c("o_custkey").alias("qid"), c("o_orderpriority").alias("path"), (c("o_orderkey") % 200).alias("start"), (c("o_orderkey") % 200 + 10 + c("o_orderkey") % 23).alias("end"), c("o_totalprice").alias("score"))
     return deduplicate(h)

@@ -134,9 +134,9 @@ def a18(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", X.diff_counts(_diff()).alias("d")).select("l_orderkey", "l_partkey", "l_suppkey", c("d.added").cast("long").alias("added"), c("d.removed").cast("long").alias("removed"))
 
 
-@query("x20_hunk_span", "SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_orderkey AS INTEGER) AS start, CAST(greatest(l_orderkey + l_linenumber - 1, l_orderkey + 50) AS INTEGER) AS stop FROM lineitem WHERE l_linenumber > 0")
+@query("x20_hunk_span", "SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_orderkey AS INTEGER) AS start, CAST(greatest(l_orderkey + l_linenumber - 1, l_orderkey + 50) AS INTEGER) AS stop FROM lineitem")
 def x20(t):
-    return t.lineitem.filter("l_linenumber > 0").select("l_orderkey", "l_partkey", "l_suppkey", X.hunk_span(_diff()).alias("h")).select("l_orderkey", "l_partkey", "l_suppkey", c("h.start"), c("h.end").alias("stop"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", X.hunk_span(_diff()).alias("h")).select("l_orderkey", "l_partkey", "l_suppkey", c("h.start"), c("h.end").alias("stop"))
 
 
 @query("x19_trim_diff", f"""WITH k AS (SELECT l_orderkey, l_partkey, l_suppkey, list_filter(string_split({_DIFF}, chr(10)), lambda x: NOT regexp_matches(x, '^(diff |index |--- |\\+\\+\\+ )')) AS d FROM lineitem)
@@ -145,10 +145,10 @@ def x19(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", X.trim_diff(_diff(), 4).alias("text"))
 
 
-@query("v09_cited_sources", r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('x [S' || turn % 4 || '] y [S2]', '\[S(\d+)\]', 1), lambda x: CAST(x AS INTEGER)))), ',') AS cited FROM conversations WHERE turn % 4 <> 2")
+@query("v09_cited_sources", r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('x [S' || turn % 4 || '] y [S2]', '\[S(\d+)\]', 1), lambda x: CAST(x AS INTEGER)))), ',') AS cited FROM conversations")
 def v09(t):
     s = F.concat(F.lit("x [S"), (c("turn") % 4).cast("string"), F.lit("] y [S2]"))
-    return t.conversations.filter("turn % 4 <> 2").select("conv_id", "turn", F.array_join(F.array_sort(X.cited(s)), ",").alias("cited"))
+    return t.conversations.select("conv_id", "turn", F.array_join(F.array_sort(X.cited(s)), ",").alias("cited"))
 
 
 def windows(lines, size: int = 60, overlap: int = 10):

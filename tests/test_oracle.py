@@ -45,3 +45,22 @@ def test_query(spark, con, name):
     got = Counter(tuple(plain(r[c]) for c in order) for r in rows)
     want = Counter(tuple(plain(r[cols.index(c)]) for c in order) for r in cur.fetchall())
     assert got == want, (list((got - want))[:3], list((want - got))[:3])
+
+
+def test_overlap_dedup_against_plain_greedy(spark, con):
+    """r14 has no SQL: a greedy choice, written out."""
+    from sedimenta import catalog as cat
+
+    hits: dict = {}
+    for q, path, k, score in con.execute("SELECT o_custkey, o_orderpriority, o_orderkey, o_totalprice FROM orders").fetchall():
+        start = k % 200
+        hits.setdefault(q, []).append((-score, path, start, start + 10 + k % 23))
+    want = set()
+    for q, rows in hits.items():
+        kept: list = []
+        for _, path, a, b in sorted(rows):
+            clash = any(p == path and min(b, e) - max(a, s) + 1 > 0.6 * min(b - a + 1, e - s + 1) for p, s, e in kept)
+            if len(kept) < 12 and not clash:
+                kept.append((path, a, b))
+        want |= {(q, i, *x) for i, x in enumerate(kept)}
+    assert {tuple(r) for r in cat.QUERIES["r14_overlap_dedup"](spark, SF).collect()} == want
