@@ -1,8 +1,8 @@
 """Queries of the library by name, each with the SQL that says the same."""
 
-from sedimenta.operators import graph, incremental, relational, retrieval, texts
+from sedimenta.operators import graph, incremental, relational, retrieval, store, texts
 from sedimenta.plans.registry import QUERIES, SQL
 
-MODULES = (graph, incremental, relational, retrieval, texts)
+MODULES = (graph, incremental, relational, retrieval, store, texts)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
