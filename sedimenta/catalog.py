@@ -2,7 +2,8 @@
 
 from sedimenta.operators import graph, incremental, relational, retrieval, store, texts
 from sedimenta.plans.registry import QUERIES, SQL
+from sedimenta.streaming import maintain
 
-MODULES = (graph, incremental, relational, retrieval, store, texts)
+MODULES = (graph, incremental, relational, retrieval, store, texts, maintain)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
