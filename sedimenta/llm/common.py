@@ -65,6 +65,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key with this part of all rows counts as hot, so there are at most SHARE of them; its rows are dealt over SALTS tasks.
+SHARE, SALTS = 256, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """Values of the rows of (key, n) that hold at least 1 / SHARE of the sum of n: SHARE of them at most."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.filter((F.col(n) > 1) & (F.col(n) * SHARE >= total)).select(key).collect()]
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], on: str, hot: list, by: list[str], how: str = "inner") -> DataFrame:
+    """Joins on `keys`. Rows whose key column `on` is hot are dealt by a hash of the columns `by`, and the small side, which
+    has few rows of such keys, is there in each of their tasks."""
+    if not hot:
+        return big.join(small, keys, how)
+    is_hot, (salt,) = F.col(on).isin(hot), fresh(big.join(small, keys), "salt")
+    dealt = big.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = small.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with none of the frame's own."""
     taken = {c.lower() for c in df.columns}

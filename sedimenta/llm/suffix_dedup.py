@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sedimenta.llm.bytetext import BASE, U, chunks, column, mix, rolling, span
-from sedimenta.llm.common import release, stored, table, text_of
+from sedimenta.llm.common import hot_keys, release, spread_join, stored, table, text_of
 
 LENGTH = 100
 GRAM = 32
@@ -68,7 +68,7 @@ def _ranks(length: int, gram: int):
             for _, _, d, o in chunks(data, offs):
                 a, _, _, g, _ = _anchors(d, o, length, gram)
                 u, c = np.unique(g[a], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.minimum(c, 2))], ["gram", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["gram", "c"])
 
     return run
 
@@ -209,13 +209,13 @@ def repeated_passages(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     over rows (key long, text string) with keys that are all different."""
     spark = rows.sparkSession
     ranks = rows.select("text").mapInArrow(_ranks(length, gram), "gram long, c long")
-    again = stored(ranks.groupBy("gram").agg(F.sum("c").alias("c")).filter("c > 1").select("gram"), "ranks")
+    again = stored(ranks.groupBy("gram").agg(F.sum("c").alias("c")).filter("c > 1"), "ranks")
     ctx = rows.select("key", "text").mapInArrow(_contexts(length, gram), "gram long, ctx long, key long, at long")
-    shared = stored(ctx.join(again, "gram", "left_semi"), "shared")
+    shared = stored(spread_join(ctx, again.select("gram"), ["gram"], "gram", hot_keys(again, "gram", "c"), ["key", "at"], "left_semi"), "shared")
     release(spark)
-    first = shared.groupBy("gram", "ctx").agg(F.min(F.struct("key", "at")).alias("f"))
-    first = stored(first.select("gram", "ctx", F.col("f.key").alias("fkey"), F.col("f.at").alias("fat")), "first")
-    whole = shared.join(first, ["gram", "ctx"]).filter("key <> fkey or at <> fat")
+    first = shared.groupBy("gram", "ctx").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c"))
+    first = stored(first.select("gram", "ctx", F.col("f.key").alias("fkey"), F.col("f.at").alias("fat"), F.col("c").alias("rows")), "first")
+    whole = spread_join(shared, first.drop("rows"), ["gram", "ctx"], "ctx", hot_keys(first, "ctx", "rows"), ["key", "at"]).filter("key <> fkey or at <> fat")
     whole = whole.select("key", F.shiftright("at", 16).alias("lo"), F.col("at").bitwiseAND(F.lit(255)).alias("n"))
     several = stored(first.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1"), "several")
     anchors = first.join(several, "gram").select("gram", F.col("fkey").alias("key"), F.struct("gram", F.col("fat").alias("at"), (F.col("c") > HOT).alias("hot")).alias("i"))
@@ -225,8 +225,8 @@ def repeated_passages(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     kinds = "key long, lo long, n long"
     cold = parts.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_cold(length), kinds)
     hot = stored(parts.filter("hot").repartition("gram", "key", "at").mapInArrow(_hot(length), "a long, b long, key long, place long"), "hot")
-    least = stored(hot.groupBy("a", "b").agg(F.min(F.struct("key", "place")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("a", "b", "f.*").toDF("a", "b", "fkey", "fplace"), "least")
-    late = hot.join(least, ["a", "b"]).filter("key <> fkey or place <> fplace").select("key", F.col("place").alias("lo"), F.lit(1).cast("long").alias("n"))
+    least = stored(hot.groupBy("a", "b").agg(F.min(F.struct("key", "place")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("a", "b", F.col("f.key").alias("fkey"), F.col("f.place").alias("fplace"), "c"), "least")
+    late = spread_join(hot, least.drop("c"), ["a", "b"], "a", hot_keys(least, "a", "c"), ["key", "place"]).filter("key <> fkey or place <> fplace").select("key", F.col("place").alias("lo"), F.lit(1).cast("long").alias("n"))
     return whole.unionByName(cold).unionByName(late)
 
 

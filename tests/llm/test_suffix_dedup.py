@@ -53,3 +53,15 @@ def test_repeated_and_null_ids_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_keys_are_few_and_lose_no_link(spark):
+    from sedimenta.llm.common import SHARE, hot_keys, spread_join
+
+    big = spark.range(2000).selectExpr("id as key", "cast(if(id % 3 = 0, 0, id) as long) as gram")
+    counts = big.groupBy("gram").count()
+    hot = hot_keys(counts, "gram", "count")
+    assert hot == [0] and len(hot) <= SHARE and hot_keys(counts.limit(0), "gram", "count") == []
+    small = counts.filter("count > 1").select("gram")
+    assert spread_join(big, small, ["gram"], "gram", hot, ["key"], "left_semi").count() == 667
+    assert spread_join(big, counts, ["gram"], "gram", hot, ["key"]).select("key", "gram", "count").distinct().count() == 2000
