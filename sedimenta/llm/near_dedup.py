@@ -25,6 +25,8 @@ from sedimenta.llm.bytetext import SPACES, U, Words, chunks, column, gram_hash,
 from sedimenta.llm.common import release, small_batches, stored, table, text_of
 
 COORDS, ROWS = 256, 8
+#: Threshold of the pipeline's stage in hundredths, and its coordinates of a band.
+STAGE_NUM, STAGE_ROWS = 80, 6
 SHINGLE = 5
 #: Largest bucket whose classes are compared pairwise.
 SMALL = 8
@@ -299,10 +301,11 @@ def _large_buckets(large: DataFrame, signs: DataFrame, compare, sets_of, least:
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Whole documents, 5-word shingles, similarity 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), num=85)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    """Pipeline stage: one document of each group stays; groups are linked at similarity 0.8, where a pair shares no
+    band of STAGE_ROWS with probability 3e-6."""
+    kept = near_duplicates(docs, num=STAGE_NUM, rows=STAGE_ROWS).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")

@@ -58,6 +58,14 @@ def test_equals_brute_force(spark, monkeypatch, seed, small):
     assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_links_from_080_on(spark, seed):
+    rows = rows_of(seed)
+    assert brute(rows, 80) != brute(rows, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in stage(spark, df, "").collect()} == {r[0] for r in brute(rows, 80) if r[3]}
+
+
 def test_null_and_repeated_ids_and_clashing_columns(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "x y z"), (7, "x y z"), (None, None)]
     df = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, n int, cls string")
