@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that hold a word of license wording, with neighbouring candidate lines as one
-block too. A block is compressed alone and with each template as a raw zstandard dictionary; the templates are ranked by how many
-bytes they save. The best ones are confirmed by the exact differences in wording: words of the template that the block
-lacks, and words that it has in between. Every line of every text is looked at."""
+Each word of license wording in a text opens a window that reaches as many words to either side as the longest template
+may take, over line ends and comment marks. Templates that may be there
+are ranked by how many bytes a window saves with them as raw zstandard dictionaries; the best ones are confirmed. Templates are confirmed by the exact differences in wording: words
+of the template that its part of the window lacks, and words that it has in between; a finding is that part alone.
+Every word of every text is looked at."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -38,35 +41,25 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-CUES = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|free software|\bCC[ -]"
+CUES = r"(?i)licen[cs]|copyright|permission|redistribut|public[\W_]+domain|free[\W_]+software|\bCC[\W_]"
 #: Templates of a block that are confirmed, by saved bytes; largest share of a template's words that may be missing.
 TOP, MISSING = 3, 0.2
 LEVEL = 3
 
-_word = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*").findall
+_word = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
+_marks = re.compile(r"[^\w\s]*")
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in _word(text)]
-
-
-def blocks(text: str, cue) -> list[tuple[int, int]]:
-    """(start, end) of each run of candidate lines, in characters, and of each line of a longer run."""
-    out, at, run = [], 0, []
-    for line in [*text.split("\n"), None]:
-        if line is not None and cue.search(line):
-            run.append((at, at + len(line)))
-        elif run:
-            out += run if len(run) == 1 else [(run[0][0], run[-1][1]), *run]
-            run = []
-        at += len(line or "") + 1
-    return out
+    return [w.lower() for w in _word.findall(text)]
 
 
 class Scanner:
     def __init__(self, templates=TEMPLATES, top: int = TOP, missing: float = MISSING):
         self.templates, self.top, self.missing = templates, top, missing
         self.words = [words(t) for _, t in templates]
+        self.counts = [Counter(w) for w in self.words]
+        self.reach = max((len(w) + self.slack(len(w)) for w in self.words), default=0)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.cue = re.compile(CUES)
@@ -78,25 +71,46 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((alone - len(c.compress(raw)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str, k: int) -> tuple[list[str], list[str]] | None:
-        """(missing, added) words inside the template's part of the block, or None if too many are missing."""
-        want, have = self.words[k], words(block)
-        same = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return None
-        hit = sum(m.size for m in same)
-        missing = [w for i, w in enumerate(want) if not any(m.a <= i < m.a + m.size for m in same)]
-        a, b = same[0].b, same[-1].b + same[-1].size
-        added = [have[i] for i in range(a, b) if not any(m.b <= i < m.b + m.size for m in same)]
-        return (missing, added) if hit >= (1 - self.missing) * len(want) and len(added) <= max(1, self.missing * len(want)) else None
+    def slack(self, n: int) -> int:
+        """Most words that a confirmed part may have besides those of a template of n words."""
+        return int(max(1, self.missing * n))
+
+    def confirm(self, have: list[str], k: int) -> tuple[list[str], list[str], int, int] | None:
+        """(missing, added, start, end) of the part of the words that is closest to the template, or None if too many
+        words are missing or added everywhere. Looks around the longest common run first, then on both sides of it."""
+        want = self.words[k]
+        least, slack = (1 - self.missing) * len(want), self.slack(len(want))
+        todo, best = [(0, len(have))], None
+        while todo:
+            a, b = todo.pop()
+            if (self.counts[k] & Counter(have[a:b])).total() < max(1, least):
+                continue
+            run = SequenceMatcher(None, want, have[a:b], autojunk=False).find_longest_match()
+            at = a + run.b
+            lo, hi = max(a, at - run.a - slack), min(b, at - run.a + len(want) + slack)
+            same = [m for m in SequenceMatcher(None, want, have[lo:hi], autojunk=False).get_matching_blocks() if m.size]
+            same = _dense(same)
+            i, j = lo + same[0].b, lo + same[-1].b + same[-1].size
+            hit, inside = {m.a + x for m in same for x in range(m.size)}, {lo + m.b + x for m in same for x in range(m.size)}
+            added = [have[x] for x in range(i, j) if x not in inside]
+            if len(hit) >= least and len(added) <= slack:
+                found = ([w for x, w in enumerate(want) if x not in hit], added, i, j)
+                if best is None or len(found[0]) + len(added) < len(best[0]) + len(best[1]):
+                    best = found
+            else:
+                todo += [(a, at), (at + run.size, b)]
+        return best
 
     def winner(self, block: str) -> tuple | None:
-        """(license, template, saved, missing, added): of the confirmed templates the one with fewest differences, then most saved."""
+        """(license, template, saved, missing, added, start, end), the last two in words: of the confirmed templates the
+        one with fewest differences, then most saved."""
         if block in self.known:
             return self.known[block]
-        best = None
-        for saved, k in self.rank(block)[: self.top]:
-            if saved > 0 and (diff := self.confirm(block, k)) is not None:
+        best, have = None, words(block)
+        count = Counter(have)
+        able = {k for k, w in enumerate(self.words) if (self.counts[k] & count).total() >= (1 - self.missing) * len(w)}
+        for saved, k in [x for x in self.rank(block) if x[1] in able][: self.top] if able else []:
+            if saved > 0 and (diff := self.confirm(have, k)) is not None:
                 mark = (len(diff[0]) + len(diff[1]), -saved, k)
                 if best is None or mark < best[0]:
                     best = (mark, (self.templates[k][0], k, saved, *diff))
@@ -106,15 +120,42 @@ class Scanner:
         return self.known[block]
 
     def scan(self, text: str) -> list[dict]:
-        """Findings of a text; a block inside another finding of the same license is left out."""
+        """Findings of a text from left to right, none inside another."""
         out: list[dict] = []
-        for a, b in blocks(text, self.cue):
-            if w := self.winner(text[a:b]):
-                if not any(f["start"] <= a and b <= f["end"] and f["license"] == w[0] for f in out):
-                    out.append({"license": w[0], "start": a, "end": b, "saved": w[2], "missing": w[3], "added": w[4]})
+        cues = [m.start() for m in self.cue.finditer(text)]
+        if not cues:
+            return out
+        at = [m.span() for m in _word.finditer(text)]
+        ends = [e for _, e in at]
+        done, last = 0, -1
+        for cue in cues:
+            c = bisect_right(ends, cue)
+            if c < done or c == last or c == len(at):
+                continue
+            last = c
+            a, b = max(done, c - self.reach), min(len(at), c + self.reach + 1)
+            while a < b and (w := self.winner(text[at[a][0] : at[b - 1][1]])):
+                if a + w[6] <= c:
+                    a += w[6]
+                elif a + w[5] > c:
+                    b = a + w[5]
+                else:
+                    out.append({"license": w[0], "start": at[a + w[5]][0], "end": _marks.match(text, at[a + w[6] - 1][1]).end(), "saved": w[2], "missing": w[3], "added": w[4]})
+                    done = a + w[6]
+                    break
         return out
 
 
+def _dense(same: list) -> list:
+    """The run of matching blocks with most words in blocks less words in the gaps between; stray ends fall off."""
+    best, first, total = (0, 0, 0), 0, 0
+    for i, m in enumerate(same):
+        gap = m.b - same[i - 1].b - same[i - 1].size if i else 0
+        total, first = (total - gap + m.size, first) if total >= gap and i else (m.size, i)
+        best = max(best, (total, -first, i + 1))
+    return same[-best[1] : best[2]]
+
+
 _NAMES = ("license", "start", "end", "saved", "missing", "added")
 _ARROW = pa.list_(pa.struct(list(zip(_NAMES, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True))))
 _SPARK = ArrayType(StructType([StructField(n, t) for n, t in zip(_NAMES, (StringType(), LongType(), LongType(), LongType(), ArrayType(StringType()), ArrayType(StringType())), strict=True)]))

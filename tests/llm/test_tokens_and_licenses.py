@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers as P
@@ -59,6 +60,18 @@ def test_every_template_is_found_and_named():
         assert [(f["license"], f["start"], f["end"], f["missing"], f["added"]) for f in found] == [(name, 10, 10 + len(t), [], [])]
 
 
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+@pytest.mark.parametrize("width", [30, 72])
+def test_every_wrapped_template_is_found(mark, width):
+    s = licenses.Scanner()
+    for name, t in licenses.TEMPLATES:
+        lines = [mark + x for x in textwrap.wrap(t, width, break_on_hyphens=False, break_long_words=False)]
+        text = "\n".join(["def f(x): this is the text before", *lines, "and the code of this file after it"])
+        found = s.scan(text)
+        assert [(f["license"], f["missing"], f["added"]) for f in found] == [(name, [], [])]
+        assert licenses.words(text[found[0]["start"] : found[0]["end"]]) == licenses.words(t)
+
+
 def test_differences_and_lookalikes():
     s = licenses.Scanner()
     t = dict(reversed(licenses.TEMPLATES))["MIT"]
