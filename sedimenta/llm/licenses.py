@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
 Each word of license wording in a text opens a window that reaches as many words to either side as the longest template
-may take, over line ends and comment marks. Templates that may be there
-are ranked by how many bytes a window saves with them as raw zstandard dictionaries; the best ones are confirmed. Templates are confirmed by the exact differences in wording: words
+may take, over line ends and comment marks. All
+templates that may be there are confirmed; of those that fit as well, the one counts with which as a raw zstandard
+dictionary the window saves most bytes. What is left on both sides of a finding is scanned like the rest. Templates are confirmed by the exact differences in wording: words
 of the template that its part of the window lacks, and words that it has in between; a finding is that part alone.
 Every word of every text is looked at."""
 
@@ -42,7 +43,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 CUES = r"(?i)licen[cs]|copyright|permission|redistribut|public[\W_]+domain|free[\W_]+software|\bCC[\W_]"
-#: Templates of a block that are confirmed, by saved bytes; largest share of a template's words that may be missing.
+#: Places of the ranking by saved bytes among which a template's own text is; largest share of a template's words that may be missing.
 TOP, MISSING = 3, 0.2
 LEVEL = 3
 
@@ -55,8 +56,8 @@ def words(text: str) -> list[str]:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, top: int = TOP, missing: float = MISSING):
-        self.templates, self.top, self.missing = templates, top, missing
+    def __init__(self, templates=TEMPLATES, missing: float = MISSING):
+        self.templates, self.missing = templates, missing
         self.words = [words(t) for _, t in templates]
         self.counts = [Counter(w) for w in self.words]
         self.reach = max((len(w) + self.slack(len(w)) for w in self.words), default=0)
@@ -109,8 +110,8 @@ class Scanner:
         best, have = None, words(block)
         count = Counter(have)
         able = {k for k, w in enumerate(self.words) if (self.counts[k] & count).total() >= (1 - self.missing) * len(w)}
-        for saved, k in [x for x in self.rank(block) if x[1] in able][: self.top] if able else []:
-            if saved > 0 and (diff := self.confirm(have, k)) is not None:
+        for saved, k in self.rank(block) if able else []:
+            if saved > 0 and k in able and (diff := self.confirm(have, k)) is not None:
                 mark = (len(diff[0]) + len(diff[1]), -saved, k)
                 if best is None or mark < best[0]:
                     best = (mark, (self.templates[k][0], k, saved, *diff))
@@ -161,9 +162,9 @@ _ARROW = pa.list_(pa.struct(list(zip(_NAMES, (pa.string(), pa.int64(), pa.int64(
 _SPARK = ArrayType(StructType([StructField(n, t) for n, t in zip(_NAMES, (StringType(), LongType(), LongType(), LongType(), ArrayType(StringType()), ArrayType(StringType())), strict=True)]))
 
 
-def _scan(templates, top, missing):
+def _scan(templates, missing):
     def run(batches):
-        s = Scanner(templates, top, missing)
+        s = Scanner(templates, missing)
         for batch in batches:
             found = [s.scan(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, _ARROW)], ["id", "findings"])
@@ -171,14 +172,14 @@ def _scan(templates, top, missing):
     return run
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, top: int = TOP, missing: float = MISSING) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, missing: float = MISSING) -> DataFrame:
     """Licenses named or quoted in texts.
 
     Returns a row for each row: id_col, licenses (distinct names, sorted), n_findings, findings (license, start and end in
     characters, saved bytes, missing and added words). Null and empty texts have none. Repeated rows and null ids are rows
     like others; other columns aren't read. An empty table gives an empty result."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = src.mapInArrow(_scan(templates, top, missing), StructType([src.schema["id"], StructField("findings", _SPARK)]))
+    out = src.mapInArrow(_scan(templates, missing), StructType([src.schema["id"], StructField("findings", _SPARK)]))
     names = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"])))
     return out.select(F.col("id").alias(id_col), names.alias("licenses"), F.size("findings").cast("long").alias("n_findings"), "findings")
 

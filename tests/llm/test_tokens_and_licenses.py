@@ -72,6 +72,25 @@ def test_every_wrapped_template_is_found(mark, width):
         assert licenses.words(text[found[0]["start"] : found[0]["end"]]) == licenses.words(t)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_every_notice_of_one_line_is_found(seed):
+    r = random.Random(seed)
+    s = licenses.Scanner()
+    filler = "the text of this work and all files under a version of the terms for any person or later use".split()
+    want, parts = [], []
+    for name, t in r.sample(licenses.TEMPLATES, 12):
+        parts += [" ".join(r.choices(filler, k=r.randint(0, 90))), t]
+        want.append((name, t))
+    text = " ".join([*parts, "that is all"])
+    found = s.scan(text)
+    assert [(f["license"], licenses.words(text[f["start"] : f["end"]])) for f in found] == [(n, licenses.words(t)) for n, t in want]
+
+
+def test_two_licenses_side_by_side():
+    text = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert [f["license"] for f in licenses.Scanner().scan(text)] == ["Apache-2.0", "MIT"]
+
+
 def test_differences_and_lookalikes():
     s = licenses.Scanner()
     t = dict(reversed(licenses.TEMPLATES))["MIT"]
