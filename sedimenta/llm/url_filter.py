@@ -1,10 +1,11 @@
 """URL filters: rules by host and path, and a character language-model ratio for all other URLs.
 
 Two variable-order Markov models, of URLs that the rules accept and of those that they reject, predict each character
-from up to ORDER characters before it. Contexts and characters are hashed to a fixed number of slots; at a place the
-longest context that was seen LEAST times decides, with added smoothing. A URL's score is the mean log-likelihood
+from up to ORDER characters before it. Contexts are counted as they are, in tables that grow with the input; at a
+place the longest context that was seen LEAST times decides, with added smoothing. A URL's score is the mean log-likelihood
 difference of its characters; the cut is the one that separates rule-decided URLs, kept out of the
-counts, best. Built-in functions only."""
+counts, best. Places with the same ORDER + 1 characters have the same difference, so it's found once for each such
+string and joined back. Built-in functions only."""
 
 from __future__ import annotations
 
@@ -14,10 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import table
-from sedimenta.llm.native import constants, let
+from sedimenta.llm.common import hot_keys, spread_join, stored, table
 
-ORDER, CONTEXTS, CHARS, LEAST, SMOOTHING = 4, 1024, 32, 8, 0.5
+ORDER, LEAST, SMOOTHING = 4, 8, 0.5
+#: Differences are kept in units of 1 / SCALE, so that sums don't depend on the order of rows.
+SCALE = 1_000_000
 #: (verdict, rule) of the production query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,9 +29,11 @@ HELD, BIN, BINS = 5, 0.01, 500
 
 @dataclass
 class Model:
-    """For each order a log ratio by slot (None where the context is too rare), and the least accepted score."""
+    """Differences in units of 1 / SCALE: `ratios` (text, ratio) of a context with a character after it, `contexts` (context,
+    other) of a context with a character that it never had; None without URLs of both verdicts. The least accepted score."""
 
-    tables: list[list[float | None]]
+    contexts: DataFrame | None
+    ratios: DataFrame | None
     cut: float
 
 
@@ -49,28 +53,48 @@ def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _slot(u: Column, i: Column, k: int) -> Column:
-    """Slot of the character at place i (from ORDER + 1 on) and the k before it, in the padded URL."""
-    context = F.pmod(F.xxhash64(F.substring(u, i - k, F.lit(k))), F.lit(CONTEXTS))
-    return (context * CHARS + F.pmod(F.xxhash64(F.substring(u, i, F.lit(1))), F.lit(CHARS))).cast("int")
-
-
-def _padded(url: Column) -> Column:
-    return F.concat(F.lit("\x02" * ORDER), F.coalesce(url, F.lit("")), F.lit("\x03"))
-
-
-def _places(u: Column) -> Column:
-    return F.sequence(F.lit(ORDER + 1), F.length(u))
-
-
-def score(url: Column, tables) -> Column:
-    """Mean log-likelihood difference of a URL's characters (with its end)."""
-    arrays = [constants(t) for t in tables]
-
-    def at(u, i):
-        return F.coalesce(*[F.get(arrays[k - 1], _slot(u, i, k)) for k in range(ORDER, 0, -1)], F.lit(0.0)).cast("double")
-
-    return let(_padded(url), lambda u: F.aggregate(_places(u), F.lit(0.0), lambda a, i: a + at(u, i)) / F.size(_places(u)))
+def _places(rows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, text): each character of the column u, and its end, with the ORDER characters before it."""
+    padded = F.concat(F.lit("\x02" * ORDER), F.coalesce(F.col("u"), F.lit("")), F.lit("\x03"))
+    at = rows.select(*keep, padded.alias("u")).select(*keep, "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i"))
+    return at.select(*keep, F.substring("u", F.col("i") - ORDER, F.lit(ORDER + 1)).alias("text"))
+
+
+def _orders(texts: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, k, context, text): the end of each text for each order."""
+    each = texts.select(*keep, F.col("text").alias("whole"), F.explode(F.array(*[F.lit(k) for k in range(1, ORDER + 1)])).alias("k"))
+    end = F.substring("whole", ORDER + 1 - F.col("k"), F.col("k") + 1)
+    return each.select(*keep, "k", end.alias("text")).withColumn("context", F.substring("text", F.lit(1), F.col("k")))
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of rows (row, u): mean log-likelihood difference of the URL's characters (with its end). row is unique."""
+    if model.ratios is None:
+        return rows.select("row", F.lit(0.0).alias("score"))
+    places = _places(rows, "row")
+    texts = stored(places.groupBy("text").agg(F.count("*").alias("n")), "texts")
+    ends = _orders(texts.withColumn("place", F.col("text")), "place")
+    hot = lambda c: hot_keys(ends.groupBy(c).agg(F.count("*").alias("n")), c, "n")
+    seen = spread_join(ends, model.contexts, ["context"], "context", hot("context"), ["place"])
+    seen = spread_join(seen, model.ratios, ["text"], "text", hot("text"), ["place"], "left")
+    best = seen.groupBy("place").agg(F.max_by(F.coalesce("ratio", "other"), "k").alias("ratio"))
+    each = stored(best.select(F.col("place").alias("text"), "ratio"), "ratios")
+    joined = spread_join(places, each, ["text"], "text", hot_keys(texts, "text", "n"), ["row"], "left")
+    return joined.groupBy("row").agg((F.sum(F.coalesce("ratio", F.lit(0))) / SCALE / F.count("*")).alias("score"))
+
+
+def _model(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contexts, ratios) from (v, u)."""
+    num = lambda c, v: F.sum(F.when(F.col("v") == v, F.col("n")).otherwise(0)).alias(c)
+    texts = stored(_places(counted, "v").groupBy("v", "text").agg(F.count("*").alias("n")), "texts")
+    pairs = stored(_orders(texts, "v", "n").groupBy("context", "text").agg(num("a", "allow"), num("b", "block")), "pairs")
+    size = SMOOTHING * (1 + pairs.filter(F.length("text") == 2).select(F.substring("text", 2, 1)).distinct().count())
+    whole = pairs.groupBy("context").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).filter(F.col("na") + F.col("nb") >= LEAST)
+    whole = stored(whole, "contexts")
+    difference = lambda a, b: F.round((F.log((a + SMOOTHING) / (F.col("na") + size)) - F.log((b + SMOOTHING) / (F.col("nb") + size))) * SCALE).cast("long")
+    none = F.lit(0)
+    ratios = pairs.join(whole, "context").select("text", difference(F.col("a"), F.col("b")).alias("ratio"))
+    return stored(whole.select("context", difference(none, none).alias("other")), "others"), stored(ratios, "known")
 
 
 def fit(pages: DataFrame, url_col: str = "url", rules=RULES) -> Model:
@@ -79,17 +103,12 @@ def fit(pages: DataFrame, url_col: str = "url", rules=RULES) -> Model:
     verdict = match(*split_url(url), rules)[1]
     own = pages.select(url.alias("u"), verdict.alias("v")).filter("v is not null")
     own = own.withColumn("held", F.pmod(F.xxhash64("u"), F.lit(HELD)) == 0)
-    each = own.filter("not held").select("v", _padded(F.col("u")).alias("u")).select("v", "u", F.explode(_places(F.col("u"))).alias("i"))
-    slots = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _slot(F.col("u"), F.col("i"), k).alias("s")) for k in range(1, ORDER + 1)]))
-    counts = each.select("v", slots.alias("x")).groupBy("v", "x.k", "x.s").agg(F.count("*").alias("n")).collect()  # at most 2 * ORDER * CONTEXTS * CHARS rows
-    c = {"allow": [{} for _ in range(ORDER)], "block": [{} for _ in range(ORDER)]}
-    for r in counts:
-        c[r.v][r.k - 1][r.s] = r.n
-    tables = [_table(c["allow"][k], c["block"][k]) for k in range(ORDER)]
-    if not any(c["allow"]) or not any(c["block"]):
-        return Model([[None]] * ORDER, -math.inf)
-    b = F.greatest(F.least(F.floor(score(F.col("u"), tables) / BIN), F.lit(BINS)), F.lit(-BINS))
-    hist = {(r.v, r.b): r.n for r in own.filter("held").select("v", b.alias("b")).groupBy("v", "b").agg(F.count("*").alias("n")).collect()}
+    if own.filter("not held").select("v").distinct().count() < 2:
+        return Model(None, None, -math.inf)
+    model = Model(*_model(own.filter("not held")), -math.inf)
+    held = stored(own.filter("held").select("v", "u", F.monotonically_increasing_id().alias("row")), "held")
+    b = F.greatest(F.least(F.floor(F.col("score") / BIN), F.lit(BINS)), F.lit(-BINS))
+    hist = {(r.v, r.b): r.n for r in held.select("v", "row").join(score(held, model), "row").select("v", b.alias("b")).groupBy("v", "b").agg(F.count("*").alias("n")).collect()}
     good, bad = (max(1, sum(n for (v, _), n in hist.items() if v == w)) for w in ("allow", "block"))
     best, first, last, lost, stopped = -1.0, 0, 0, 0, 0
     for x in range(-BINS, BINS + 1):  # accept from bin x on; the middle of the best cuts
@@ -99,18 +118,8 @@ def fit(pages: DataFrame, url_col: str = "url", rules=RULES) -> Model:
         if gain == best:
             last = x
         lost, stopped = lost + hist.get(("allow", x), 0), stopped + hist.get(("block", x), 0)
-    return Model(tables, (first + last) / 2 * BIN)
-
-
-def _table(a: dict[int, int], b: dict[int, int]) -> list[float | None]:
-    out: list[float | None] = []
-    for ctx in range(CONTEXTS):
-        na, nb = (sum(x.get(ctx * CHARS + j, 0) for j in range(CHARS)) for x in (a, b))
-        for j in range(CHARS):
-            s = ctx * CHARS + j
-            p = lambda x, n: math.log((x.get(s, 0) + SMOOTHING) / (n + SMOOTHING * CHARS))  # noqa: B023, E731
-            out.append(p(a, na) - p(b, nb) if na + nb >= LEAST else None)
-    return out
+    model.cut = (first + last) / 2 * BIN
+    return model
 
 
 def judge(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -118,9 +127,10 @@ def judge(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str
     score of the empty string. Rows are judged one by one: null or repeated ids and repeated rows don't matter, other columns aren't read."""
     url = F.col(f"`{url_col}`")
     host, path = split_url(url)
-    d = pages.select(F.col(f"`{id_col}`").alias(id_col), url.alias("_url"), host.alias("host"), path.alias("path"))
+    rows = stored(pages.select(F.col(f"`{id_col}`").alias("id"), url.alias("u"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "urls")
     rule, verdict = match(F.col("host"), F.col("path"), rules)
-    d = d.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("_v"), score(F.col("_url"), model.tables).alias("score"))
+    d = rows.join(score(rows.select("row", "u"), model), "row")
+    d = d.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("_v"), "score")
     own = F.when(F.col("score") >= F.lit(model.cut), F.lit("allow")).otherwise(F.lit("block"))
     return d.select(id_col, "host", "path", "rule", F.coalesce("_v", own).alias("verdict"), "score")
 

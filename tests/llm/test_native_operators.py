@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -87,6 +88,44 @@ def test_rules_and_verdicts(spark):
     assert sum(verdict[i] == ("block" if i % 2 else "allow") for i in range(300, 340)) >= 36
 
 
+def test_scores_count_each_context_by_itself(spark):
+    """Scores of exact contexts, on more of them than any table of 1,024 has."""
+    r = random.Random(5)
+    chars = "abcdefghijklmnopqrstuvwxyz0123456789-_éü日"
+    part = lambda: "".join(r.choice(chars) for _ in range(r.randint(3, 12)))
+    words = [part() for _ in range(150)]
+    url = lambda: f"http://{r.choice(words)}.{r.choice(['org', 'com', 'net'])}/{r.choice(['de', 'en', 'fr'])}/{r.choice(words)}/{part()}"
+    rows = [(i, url()) for i in range(1, 1500)] + [(None, None), (0, ""), (0, ""), (9999, "http://x.org/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    held = {x.url for x in df.filter("pmod(xxhash64(url), 5) = 0").collect()}
+    verdict = {u: rule(*split(u))[1] for _, u in rows}
+    n, total = Counter(), Counter()
+    pad = lambda u: "\x02" * 4 + (u or "") + "\x03"
+    for _, u in rows:
+        if verdict[u] and u not in held:
+            for i in range(4, len(pad(u))):
+                for k in range(1, 5):
+                    n[verdict[u], pad(u)[i - k : i + 1]] += 1
+                    total[verdict[u], pad(u)[i - k : i]] += 1
+    contexts = {c for _, c in total}
+    assert sum(len(c) == 4 for c in contexts) > 1024
+    size = 0.5 * (1 + len({t[1] for _, t in n if len(t) == 2}))
+
+    def ratio(t):
+        for k in range(4, 0, -1):
+            c = t[4 - k : 4]
+            if total["allow", c] + total["block", c] >= 8:
+                p = [math.log((n[v, t[4 - k :]] + 0.5) / (total[v, c] + size)) for v in ("allow", "block")]
+                return p[0] - p[1]
+        return 0.0
+
+    for x in url_filter.judge(df, url_filter.fit(df)).join(df.select("page_id", "url"), "page_id").collect():
+        p = pad(x.url)
+        if x.page_id not in (0, None):
+            assert x.score == pytest.approx(sum(ratio(p[i - 4 : i + 1]) for i in range(4, len(p))) / (len(p) - 4), abs=1e-5)
+    assert url_filter.judge(df, url_filter.fit(df)).count() == len(rows)
+
+
 def test_url_filter_without_rows(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(df, url_filter.fit(df)).count() == 0
