@@ -16,6 +16,8 @@ EDGES_SQL = "edges AS (SELECT l_suppkey AS src, 'calls' AS kind, l_partkey AS ds
 #: Later line of an order depends on the line before it; a sparse directed graph over parts.
 DEPENDS_SQL = """steps AS (SELECT l_partkey AS dst, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS src, 1 - l_discount AS confidence FROM lineitem),
 depends AS (SELECT src, dst, count(*) AS weight, max(confidence) AS confidence FROM steps WHERE src IS NOT NULL AND src <> dst AND confidence >= 0.985 GROUP BY src, dst)"""
+#: The same with every step, whatever its confidence, as the reference's closure follows every edge.
+ALL_DEPENDS_SQL = DEPENDS_SQL.replace(" AND confidence >= 0.985", "")
 NODES_SQL = """nodes AS (SELECT 'region' AS kind, r_regionkey AS key, r_name AS label FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation
 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer UNION ALL SELECT 'part', p_partkey, p_name FROM part)"""
 
@@ -38,7 +40,9 @@ def depends(t: Tables) -> DataFrame:
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     steps = t.lineitem.select(F.col("l_partkey").alias("dst"), F.lead("l_partkey").over(w).alias("src"), (1 - F.col("l_discount")).alias("confidence"))
-    good = steps.filter("src is not null and src <> dst and confidence >= 0.985")
+    good = steps.filter("src is not null and src <> dst")
+    if t.floor is not None:
+        good = good.filter(F.col("confidence") >= t.floor)
     return good.groupBy("src", "dst").agg(F.count("*").alias("weight"), F.max("confidence").alias("confidence"))
 
 

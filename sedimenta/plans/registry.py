@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable] = {}
 
 
 class Tables:
-    """The tables of a data folder, read on first use: t.orders, t.lineitem ..."""
+    """The tables of a data folder, read on first use: t.orders, t.lineitem ... `floor` is the least confidence of the steps
+    that projection.depends() follows; None follows all."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, floor: float | None = 0.985):
+        self.spark, self.folder, self.floor = spark, folder, floor
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -26,6 +28,7 @@ def query(name: str, sql: str | None = None):
     """Registers f(tables) -> DataFrame as a query; sql is its oracle."""
 
     def add(f):
+        FUNCTIONS[name] = f
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
             SQL[name] = sql
