@@ -18,6 +18,19 @@ def nearest(vectors: DataFrame, question: list[float], k: int, id_col: str = "ve
     return vectors.select(id_col, cosine_distance(c(col), q).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+def nearest_each(questions: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding", block: int = 2048) -> DataFrame:
+    """(qid, id_col, distance, rank): for each of questions (qid, q) the k other rows of least cosine distance, by an exact
+    scan; ties by id, which is unique. Vectors come in blocks of about `block` rows, and a question takes k rows of each block
+    at most before they are merged. Vectors without a length have no distance and are nobody's neighbour."""
+    parts = max(1, -(-vectors.count() // block))
+    item = F.struct(c(id_col).alias("id"), c(col).alias("v"))
+    blocks = vectors.groupBy(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("block")).agg(F.collect_list(item).alias("rows"))
+    far = F.transform("rows", lambda x: F.struct(cosine_distance(x["v"], c("q")).alias("distance"), x["id"].alias("id")))
+    near = F.slice(F.array_sort(F.filter(far, lambda x: x["distance"].isNotNull() & (x["id"] != c("qid")))), 1, k)
+    top = questions.crossJoin(blocks).select("qid", F.explode(near).alias("x")).select("qid", c("x.id").alias(id_col), "x.distance")
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", id_col))).filter(c("rank") <= k)
+
+
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, n): how often each document has each term."""
     terms = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
@@ -79,6 +92,13 @@ def r02(t):
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id"))).select("vec_id", "rank")  # 50 rows
 
 
+@query("r02_vector_knn_all", f"SELECT qid, vec_id, rank FROM (SELECT qid, e.vec_id, row_number() OVER (PARTITION BY qid ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0) WHERE e.vec_id <> qid) WHERE rank <= 50")
+def r02_all(t):
+    """All rows whose id is divisible by 50 as questions; r02_vector_knn has the first of them alone."""
+    q = t.embeddings.filter("vec_id % 50 = 0").select(c("vec_id").alias("qid"), c("embedding").alias("q"))
+    return nearest_each(q, t.embeddings, 50).select("qid", "vec_id", "rank")
+
+
 @query("r04_common_term_pruning", f"WITH {_POST}, d AS (SELECT term, count(*) AS df FROM post GROUP BY 1), r AS (SELECT qid, term, coalesce(df, 0) <= 0.25 * (SELECT count(*) FROM documents) AS rare FROM q LEFT JOIN d USING (term)), l AS (SELECT qid, count(*) FILTER (WHERE rare) AS n FROM r GROUP BY 1) SELECT qid, term FROM r JOIN l USING (qid) WHERE rare OR n < 2")
 def r04(t):
     return selective(_question(t), postings(t.documents, "doc_id", c("text")), t.documents)
