@@ -306,6 +306,6 @@ def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays; groups are linked at similarity 0.8, where a pair shares no
-    band of STAGE_ROWS with probability 3e-6."""
+    band of STAGE_ROWS with probability 3e-6. Rows are chosen by doc_id, so all rows stay that share a kept id, or a null one."""
     kept = near_duplicates(docs, num=STAGE_NUM, rows=STAGE_ROWS).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
