@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,13 +11,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts may be long, so a batch stays small.
+#: Rows that a Python worker turns into objects at a time. Spark itself bounds an Arrow batch by bytes (64 MB unless set otherwise).
 ARROW_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark so that any store that it knows will do."""
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,28 +36,72 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at a time."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with this package at hand on every worker, in batches of ARROW_ROWS rows at most."""
+    ship(df.sparkSession)
+
+    def sliced(batches):
+        return run(b.slice(i, ARROW_ROWS) for b in batches for i in range(0, b.num_rows, ARROW_ROWS))
+
+    return df.mapInArrow(sliced, schema)
+
+
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sedimenta.shared.dir", None)
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset, one of our own for each application, if all
+    of Spark runs on this machine; on a cluster it must be set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="sedimenta-")
-        spark.conf.set("sedimenta.shared.dir", path)
+        sc = spark.sparkContext
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own_dirs.get(sc.applicationId) or _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="sedimenta-"))
     return path.rstrip("/")
 
 
+_kept: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them again: lineage ends there, and a lost
-    executor costs no more than the stage that was running."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    executor costs no more than the stage that was running. The folder stays until discard()."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _kept.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return _written(df, path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the folders of all stored() steps of this application. Frames that read them, such as an operator's result that
+    isn't written yet, can't be used any longer."""
+    for path in _kept.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+class Steps:
+    """Intermediate tables of one call, in a folder of their own in the shared folder; dropped when no frame needs them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.dir, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.dir}/{self.n}-{tag}")
+
+    def drop(self) -> None:
+        _delete(self.spark, self.dir)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sedimenta.llm.common import table
+from sedimenta.llm.common import mapped, table
 from sedimenta.llm.labelled import platt, remainder, sample
 
 #: Labelled rows of each class at most; bytes of a dictionary; compression level.
@@ -102,7 +102,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     text, which has a score like others. Rows are worked on one by one, so repeated rows and ids don't matter."""
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("__")).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     kinds = StructType([src.schema["rest"], StructField("score", DoubleType())])
-    return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), kinds)
+    return mapped(src, _score(docs.sparkSession.sparkContext.broadcast(model)), kinds)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytetext import NOT_ALNUM, U, Words, chunks, column
-from sedimenta.llm.common import stored, table, text_of
+from sedimenta.llm.common import mapped, stored, table, text_of
 
 WINDOW = 10
 #: Bytes of test texts that go to every task at a time; more are taken in blocks of this size, one after the other.
@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k, (ids, texts) in enumerate(_blocks(benchmark, item_col, item_text, block)):
         if k:  # one block's test items in memory at a time
             rows = stored(rows, "block").drop("n_words")
-        rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(Tests(ids, texts, window)), window), schema)
+        rows = mapped(rows, _scan(spark.sparkContext.broadcast(Tests(ids, texts, window)), window), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     digest = F.sha2(F.concat_ws(",", F.col("items").cast("array<string>")), 256)
     out = rows.select("id", *(["rest", "text"] if carry else []), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", "items", "longest")

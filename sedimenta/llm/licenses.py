@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from sedimenta.llm.common import table
+from sedimenta.llm.common import mapped, table
 
 # Notices and opening paragraphs of public licenses.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -179,7 +179,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     characters, saved bytes, missing and added words). Null and empty texts have none. Repeated rows and null ids are rows
     like others; other columns aren't read. An empty table gives an empty result."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = src.mapInArrow(_scan(templates, missing), StructType([src.schema["id"], StructField("findings", _SPARK)]))
+    out = mapped(src, _scan(templates, missing), StructType([src.schema["id"], StructField("findings", _SPARK)]))
     names = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"])))
     return out.select(F.col("id").alias(id_col), names.alias("licenses"), F.size("findings").cast("long").alias("n_findings"), "findings")
 

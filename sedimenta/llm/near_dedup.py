@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytetext import SPACES, U, Words, chunks, column, gram_hash, mix
-from sedimenta.llm.common import release, small_batches, stored, table, text_of
+from sedimenta.llm.common import mapped, release, stored, table, text_of
 
 COORDS, ROWS = 256, 8
 #: Threshold of the pipeline's stage in hundredths, and its coordinates of a band.
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    sig = stored(src.mapInArrow(_signatures(rows, coords), f"id {kind}, n long, cls binary, bands array<long>, low binary"), "signatures")
+    sig = stored(mapped(src, _signatures(rows, coords), f"id {kind}, n long, cls binary, bands array<long>, low binary"), "signatures")
     full = sig.filter("cls is not null")
     classes = stored(full.groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
     spread = classes.select("cls", F.explode("bands").alias("band"))
@@ -214,17 +214,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compare(pairs: DataFrame) -> DataFrame:
         """Sketches first (four standard deviations below the threshold), then whole sets."""
         p = _side_by_side(pairs.distinct(), low.withColumnRenamed("low", "v"))
-        return confirm(stored(p.mapInArrow(_near(least), "a binary, b binary"), "near"))
+        return confirm(stored(mapped(p, _near(least), "a binary, b binary"), "near"))
 
     def sets_of(need: DataFrame) -> DataFrame:
         """(cls, v): whole shingle sets of the classes in need, from the text of one document of each."""
         reps = need.join(classes.select("cls", "rep"), "cls").select("rep")
         text = src.join(reps, src.id.eqNullSafe(reps.rep), "left_semi")
-        return stored(text.select("text").mapInArrow(_sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
+        return stored(mapped(text.select("text"), _sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
 
     def confirm(p: DataFrame) -> DataFrame:
         sets = sets_of(p.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        return stored(_side_by_side(p, sets).mapInArrow(_confirm(num, den), "a binary, b binary"), "links")
+        return stored(mapped(_side_by_side(p, sets), _confirm(num, den), "a binary, b binary"), "links")
 
     links = compare(pairs)
     release(spark)
@@ -292,10 +292,7 @@ def _large_buckets(large: DataFrame, signs: DataFrame, compare, sets_of, least:
     item = F.collect_list(F.struct("cls", "root", "bands", "low", "v"))
     members = full.groupBy("band", dealt(MEMBERS)).agg(item.alias("m"), F.min(F.array_position("bands", F.col("band")) - 1).alias("k"))
     strays = full.filter("root <> main").groupBy("band", dealt(STRAYS)).agg(item.alias("s"))
-    spark = large.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row is two blocks
-    out.append(stored(members.join(strays.drop("block"), "band").select(F.col("k").cast("int").alias("k"), "s", "m").mapInArrow(_blocks(least, num, den), "a binary, b binary"), "links"))
-    small_batches(spark)
+    out.append(stored(mapped(members.join(strays.drop("block"), "band").select(F.col("k").cast("int").alias("k"), "s", "m"), _blocks(least, num, den), "a binary, b binary"), "links"))
     return out
 
 

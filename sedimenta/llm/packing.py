@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import release, stored, table, text_of
+from sedimenta.llm.common import mapped, release, stored, table, text_of
 from sedimenta.llm.wordtokens import encoder
 
 CAPACITY = 4096
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     kinds = f"id {kind}, piece int, start long, length long, crc long"
-    rows = stored(src.mapInArrow(_pieces(tokenizer, capacity, end), kinds), "pieces")
+    rows = stored(mapped(src, _pieces(tokenizer, capacity, end), kinds), "pieces")
     salts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "crc", "start"), F.lit(salts)).cast("int"))
     groups = rows.groupBy("length", "salt").agg(F.count("*").alias("c"))
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "crc"))
     ranked = rows.withColumn("within", within).join(base.drop("c"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("within") - 1)
     release(spark)
-    placed = ranked.select("id", "piece", "start", "length", "crc", F.col("rank").cast("long").alias("rank")).mapInArrow(_place(runs), kinds + ", sequence_id long, offset long")
+    placed = mapped(ranked.select("id", "piece", "start", "length", "crc", F.col("rank").cast("long").alias("rank")), _place(runs), kinds + ", sequence_id long, offset long")
     return placed.withColumnRenamed("id", id_col).withColumnRenamed("crc", "ids_crc32")
 
 

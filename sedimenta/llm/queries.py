@@ -8,7 +8,7 @@ from sedimenta.llm.licenses import op10_license_scan
 from sedimenta.llm.near_dedup import op3_near_dedup
 from sedimenta.llm.packing import op8_packing
 from sedimenta.llm.quality_rules import op4_quality_rules
-from sedimenta.llm.suffix_dedup import op6_suffix_dedup
+from sedimenta.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from sedimenta.llm.token_counts import op5_token_counts
 from sedimenta.llm.toxicity import op1_toxicity
 from sedimenta.llm.url_filter import op2_url_filter
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: SQL of the queries that DuckDB can express; the others are tested against brute force, round trips or held-out rows.
-SQL = {"op9_decontamination": OP9_SQL}
+SQL = {"op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from sedimenta.llm.common import table
+from sedimenta.llm.common import mapped, table
 
 RULES = ("start", "end", "largest", "share")
 _made: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
@@ -92,7 +92,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "start"
         raise ValueError(f"rule must be one of {RULES}")
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     item = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("n_tokens", DoubleType())])
-    out = src.mapInArrow(_count(path, pattern, rule), StructType([src.schema["id"], StructField("sections", ArrayType(item))]))
+    out = mapped(src, _count(path, pattern, rule), StructType([src.schema["id"], StructField("sections", ArrayType(item))]))
     return out.select(F.col("id").alias(id_col), F.posexplode("sections").alias("section", "s")).select(id_col, "section", "s.*")
 
 

@@ -32,19 +32,35 @@ def rows_of(seed, n=60):
     return docs + [(n, "x" * 700), (n + 1, "ab" * 300), (n + 2, None), (n + 3, ""), (n + 4, docs[3][1]), (n + 5, shared[0][:99] + "ééé" * 60)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [1024, 1])
-def test_equals_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr("sedimenta.llm.suffix_dedup.HOT", hot)
+@pytest.mark.parametrize(("seed", "length"), [(1, 100), (2, 100), (1, 287), (2, 400)])
+def test_equals_brute_force(spark, seed, length):
     rows = rows_of(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, 100)
+    got = suffix_dedup(df, length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, length)
+
+
+def test_lengths_that_do_not_fit_are_refused(spark):
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=1 << 16)
+
+
+def test_long_text_in_pieces(spark):
+    """2.3 MB, worked on in pieces of 1 MB: passages over the border of two pieces and in the last one are found."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh") for _ in range(150))
+    text = list("".join(r.choice("ijklmnop") for _ in range(2_300_000)))
+    places = (10, (1 << 20) - 60, 2_250_000)
+    for k, at in enumerate(places):
+        text[at : at + 152] = [str(k), *passage, str(k)]
+    got = suffix_dedup(spark.createDataFrame([(7, "".join(text)), (8, passage[:120])], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(x.start, x.end) for x in got[0].removed] == [(p + 1, p + 151) for p in places[1:]]
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_text) == (120, 1, "")
 
 
 def test_repeated_and_null_ids_and_clashing_columns(spark):
     rows = [(None, "q" * 50 + "w" * 120), (1, "w" * 130), (1, "w" * 130), (1, "z" * 99)]
-    df = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, key int, rest string")
+    df = spark.createDataFrame([(*r, 1, "s", 2, 3) for r in rows], "doc_id long, text string, key int, rest string, __ int, pad int")
     got = suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 100)
     out = stage(spark, df, "")
