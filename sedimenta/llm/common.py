@@ -89,8 +89,13 @@ class Steps:
         self.n += 1
         return _written(df, f"{self.dir}/{self.n}-{tag}")
 
-    def drop(self) -> None:
-        _delete(self.spark, self.dir)
+    def drop(self, *tags: str) -> None:
+        """Deletes the tables kept under these tags so far, or all, and the shuffle files that led to them."""
+        for tag in tags:
+            _delete(self.spark, f"{self.dir}/*-{tag}")
+        if not tags:
+            _delete(self.spark, self.dir)
+        release(self.spark)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -101,7 +106,9 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(at) or ():
+        fs.delete(found.getPath(), True)
 
 
 def release(spark: SparkSession) -> None:

@@ -12,8 +12,8 @@ passages of the range have in common. The first block of an anchor has all offse
 1. blocks whose core has a rank that no other block has leave: none of their passages repeats;
 2. of blocks that are equal from the first byte of the first passage to the last of the last, all but the first
    are repeats as a whole, and the first goes on for all of them;
-3. blocks that are left are split in SPLIT, which makes their cores longer: with 100 bytes cores grow from
-   32 bytes to 83, 96, 99 and 100. The new rank is that of the pair (old rank, bytes added at both ends).
+3. blocks that are left are split (SPLITS), which makes their cores longer: with 100 bytes cores grow from
+   32 bytes to 66, 92, 98 and 100. The new rank is that of the pair (old rank, bytes added at both ends).
 
 A block of one passage is its own core, so the rounds end by themselves. Passages inside a shared text go by step 2 and those
 outside by step 1, so a round keeps about one block for each place where a shared text begins or ends, however often it is shared.
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sedimenta.llm.bytetext import BASE, CHUNK, U, chunks, column, mix, rolling, span
-from sedimenta.llm.common import Steps, fresh, hot_keys, mapped, release, spread_join, stored, table, text_of
+from sedimenta.llm.common import Steps, fresh, hot_keys, mapped, spread_join, stored, table, text_of
 
 LENGTH = 100
 GRAM = 32
-#: Parts into which a round splits a block.
-SPLIT = 4
+#: Parts into which the rounds split a block, the last for all that follow. Most blocks of the first round leave in it.
+SPLITS = (2, 4)
 #: Longest passages that the packed places hold (16 bits for an offset).
 LONGEST = (1 << 16) - 1
 #: Low bits of a fingerprint that hold a place while the least is found; the rest decides, then the place.
@@ -161,11 +161,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
     return stored(d.orderBy(F.col("id").asc_nulls_first(), "text").select(F.monotonically_increasing_id().alias("key"), "*"), "keyed")
 
 
-def _next_blocks(live: DataFrame, length: int) -> DataFrame:
+def _next_blocks(live: DataFrame, length: int, split: int) -> DataFrame:
     """The parts of blocks (r1, r2, s, w, key, a, x, y, bytes) with their new ranks; (s, w) is the range of offsets of which a block
     is a part, (x, y) those offsets of it that the block has, a the anchor's place, bytes what lies under its passages."""
-    size = F.ceil(F.col("w") / SPLIT).cast("int")
-    last = F.least(F.lit(SPLIT), F.ceil(F.col("w") / size)).cast("int") - 1
+    size = F.ceil(F.col("w") / split).cast("int")
+    last = F.least(F.lit(split), F.ceil(F.col("w") / size)).cast("int") - 1
     d = live.select("*", size.alias("size"), F.explode(F.sequence(F.lit(0), last)).alias("j"))
     d = d.withColumns({"s2": F.col("s") + F.col("j") * F.col("size")})
     d = d.withColumns({"w2": F.least("size", F.col("s") + F.col("w") - F.col("s2"))})
@@ -174,8 +174,7 @@ def _next_blocks(live: DataFrame, length: int) -> DataFrame:
     more = [("y - s2 + 1", "s2 - s"), (f"y - s + {length + 1} - w + 1", "s + w - s2 - w2")]
     add = [F.expr(f"substring(bytes, {a}, {n})") for a, n in more]
     own = F.expr(f"substring(bytes, y - y2 + 1, {length} + y2 - x2)")
-    d = d.select(F.xxhash64("r1", "j", *add).alias("r1"), F.xxhash64(F.lit("second"), "r2", "j", *add).alias("r2"), F.col("s2").alias("s"), F.col("w2").alias("w"), "key", "a", F.col("x2").alias("x"), F.col("y2").alias("y"), own.alias("bytes"))
-    return d.withColumns({"o1": F.xxhash64("r1", "x", "y", "bytes"), "o2": F.xxhash64(F.lit("second"), "r2", "x", "y", "bytes")})
+    return d.select(F.xxhash64("r1", "j", *add).alias("r1"), F.xxhash64(F.lit("second"), "r2", "j", *add).alias("r2"), F.col("s2").alias("s"), F.col("w2").alias("w"), "key", "a", F.col("x2").alias("x"), F.col("y2").alias("y"), own.alias("bytes"))
 
 
 def repeated_passages(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -183,13 +182,13 @@ def repeated_passages(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     over rows (key long, text string) with keys that are all different."""
     if not 0 < length <= LONGEST:
         raise ValueError(f"length must be 1 to {LONGEST}")
-    spark, steps, width = rows.sparkSession, Steps(rows.sparkSession, "passages"), length - gram + 1
+    steps, width = Steps(rows.sparkSession, "passages"), length - gram + 1
     # ranks of the first cores; unique ones leave before anything else is known of them
     ranks = mapped(rows.select("text"), _ranks(length, gram), "core long, c long")
     again = steps.keep(ranks.groupBy("core").agg(F.sum("c").alias("c")).filter("c > 1"), "ranks")
     blocks = mapped(rows.select("key", "text"), _blocks(length, gram), "core long, whole long, key long, at long")
     shared = steps.keep(spread_join(blocks, again.select("core"), ["core"], "core", hot_keys(again, "core", "c"), ["key", "at"], "left_semi"), "shared")
-    release(spark)
+    steps.drop("ranks")
     first = shared.groupBy("core", "whole").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c"))
     first = steps.keep(first.select("core", "whole", F.col("f.key").alias("fkey"), F.col("f.at").alias("fat"), "c"), "first")
     late = spread_join(shared, first.filter("c > 1").drop("c"), ["core", "whole"], "whole", hot_keys(first, "whole", "c"), ["key", "at"]).filter("key <> fkey or at <> fat")
@@ -201,21 +200,26 @@ def repeated_passages(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     d, n = F.shiftright("at", 16).bitwiseAND(F.lit(LONGEST)).cast("int"), F.col("at").bitwiseAND(F.lit(LONGEST)).cast("int")
     live = parts.select(F.col("core").alias("r1"), F.col("core").alias("r2"), F.lit(0).alias("s"), F.lit(width).alias("w"), "key", (F.shiftright("at", 32) + d).alias("a"), (d - n + 1).alias("x"), d.alias("y"), "bytes")
     live = steps.keep(live, "live")
-    release(spark)
+    steps.drop("shared", "first", "several")
+    names, k = ("key", "a", "r1", "r2", "s", "w", "x", "y", "bytes"), 0
     while live.limit(1).count():
-        blocks = steps.keep(_next_blocks(live, length), "blocks")
-        names = ("key", "a", "r1", "r2", "s", "w", "x", "y", "bytes")
-        first = blocks.groupBy("o1", "o2").agg(F.min(F.struct(*names)).alias("f"), F.count("*").alias("c"))
+        blocks = _next_blocks(live, length, SPLITS[min(k, len(SPLITS) - 1)])
+        again = steps.keep(blocks.groupBy("r1", "r2").agg(F.count("*").alias("c")).filter("c > 1"), "ranks")
+        shared = spread_join(blocks, again.select("r1", "r2"), ["r1", "r2"], "r1", hot_keys(again, "r1", "c"), ["key", "a"], "left_semi")
+        shared = steps.keep(shared.withColumns({"o1": F.xxhash64("r1", "x", "y", "bytes"), "o2": F.xxhash64(F.lit("second"), "r2", "x", "y", "bytes")}), "shared")
+        steps.drop("ranks", f"live{k or ''}")
+        first = shared.groupBy("o1", "o2").agg(F.min(F.struct(*names)).alias("f"), F.count("*").alias("c"))
         first = steps.keep(first.select("o1", "o2", "c", *[f"f.{c}" for c in names]), "first")
         equal = first.filter("c > 1").select("o1", "o2", F.col("key").alias("fkey"), F.col("a").alias("fa"), "c")
-        late = spread_join(blocks.select("o1", "o2", "key", "a", "x", "y"), equal.drop("c"), ["o1", "o2"], "o1", hot_keys(equal, "o1", "c"), ["key", "a"]).filter("key <> fkey or a <> fa")
+        late = spread_join(shared.select("o1", "o2", "key", "a", "x", "y"), equal.drop("c"), ["o1", "o2"], "o1", hot_keys(equal, "o1", "c"), ["key", "a"]).filter("key <> fkey or a <> fa")
         found.append(steps.keep(late.select("key", (F.col("a") - F.col("y")).alias("lo"), (F.col("y") - F.col("x") + 1).cast("long").alias("n")), "late"))
         again = steps.keep(first.groupBy("r1", "r2").agg(F.count("*").alias("c")).filter("c > 1"), "ranks")
         live = spread_join(first, again.select("r1", "r2"), ["r1", "r2"], "r1", hot_keys(again, "r1", "c"), ["key", "a"], "left_semi")
-        live = steps.keep(live.select(*names), "live")
+        k += 1
+        live = steps.keep(live.select(*names), f"live{k}")
+        steps.drop("shared", "first", "ranks")
     out = stored(reduce(DataFrame.unionByName, found), "spans")
     steps.drop()
-    release(spark)
     return out
 
 
