@@ -36,12 +36,12 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with this package at hand on every worker, in batches of ARROW_ROWS rows at most."""
+def mapped(df: DataFrame, run, schema, rows: int = ARROW_ROWS) -> DataFrame:
+    """df.mapInArrow(run, schema) with this package at hand on every worker, in batches of `rows` rows at most."""
     ship(df.sparkSession)
 
     def sliced(batches):
-        return run(b.slice(i, ARROW_ROWS) for b in batches for i in range(0, b.num_rows, ARROW_ROWS))
+        return run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
     return df.mapInArrow(sliced, schema)
 
@@ -152,3 +152,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def text_of(col: str):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(key, id, text, rest): key is a long of its own for each row, in order of id (null first), then text.
+    It is the id itself where ids are whole numbers, all different and none null; otherwise rows are sorted once, and a row's
+    key is the place of its partition and its place therein. rest holds the other columns, if carry."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if carry and c not in (id_col, text_col)]
+    (pad,) = fresh(docs, "pad")
+    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*rest, F.lit(0).alias(pad)).alias("rest"))
+    whole = d.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and not d.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():
+        return d.select(F.col("id").cast("long").alias("key"), "id", "text", "rest")
+    return stored(d.orderBy(F.col("id").asc_nulls_first(), "text").select(F.monotonically_increasing_id().alias("key"), "*"), "keyed")

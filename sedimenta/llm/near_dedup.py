@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytetext import SPACES, U, Words, chunks, column, gram_hash, mix
-from sedimenta.llm.common import mapped, release, stored, table, text_of
+from sedimenta.llm.common import Steps, hot_keys, keyed, mapped, spread_join, stored, table, text_of
 
 COORDS, ROWS = 256, 8
 #: Threshold of the pipeline's stage in hundredths, and its coordinates of a band.
@@ -32,6 +32,8 @@ SHINGLE = 5
 SMALL = 8
 #: Rounds of pivots in larger buckets, and sizes of the blocks in the comparison of what is left.
 PIVOTS, MEMBERS, STRAYS = 1, 64, 256
+#: Bytes of shingle sets that a block has on average at most, and tasks over which the blocks of one bucket are dealt.
+BLOCK_BYTES, DEAL = 8 << 20, 16
 #: Pairs that one copy of a sketch or shingle set serves.
 PER_COPY = 256
 
@@ -143,24 +145,26 @@ def _side_by_side(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return half.join(copies, ["b", "copy"]).select("a", "b", "va", "vb")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps) -> DataFrame:
     """(v, root): the least vertex that each vertex of the links (a, b) reaches, by alternating large-star and
-    small-star steps; each is one pre-aggregated minimum and one join, kept in the shared folder."""
+    small-star steps; each is one pre-aggregated minimum and one join, whose stars' centres are dealt out, kept in the shared folder."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.filter("b < a")
-        least = stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        joined = near.join(least, "a")
+        least = steps.keep(near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c"), "least")
+        joined = spread_join(near, least.drop("c"), ["a"], "a", hot_keys(least, "a", "c"), ["b"])
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    edges = stored(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    edges, k = steps.keep(links.select("a", "b").filter("a <> b").distinct(), "edges"), 0
     while True:
-        edges = stored(star(stored(star(edges, True), "large"), False), "small")
+        large, k = steps.keep(star(edges, True), "large"), k + 1
+        edges = steps.keep(star(large, False), f"edges{k}")
+        steps.drop("least", "large", f"edges{k - 1 or ''}")
         # done when all are stars: no vertex has two parents, and no parent has one
         twice = edges.groupBy("a").count().filter("count > 1").select("a")
         chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
@@ -192,18 +196,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless the group has no other id; such rows have a null component_id and are kept.
     Other columns aren't read. An empty table gives an empty result.
 
-    Misses: a pair at the threshold shares no band with probability (1 - s**rows)**(coords / rows), 4e-5 at 0.85.
+    Misses: a pair at the threshold s shares no band with probability (1 - s**rows)**(coords / rows), 4e-5 at 0.85, and its sketches
+    agree in fewer coordinates than four standard deviations below s with probability 4e-5 at most; either loses that link.
+    All that a link needs is compared; classes that share a large bucket without being links of its main component are compared
+    with all of it, which is quadratic in their number.
     """
-    spark = docs.sparkSession
+    steps = Steps(docs.sparkSession, "near")
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    sig = stored(mapped(src, _signatures(rows, coords), f"id {kind}, n long, cls binary, bands array<long>, low binary"), "signatures")
+    sig = steps.keep(mapped(src, _signatures(rows, coords), f"id {kind}, n long, cls binary, bands array<long>, low binary"), "signatures")
     full = sig.filter("cls is not null")
-    classes = stored(full.groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
-    spread = classes.select("cls", F.explode("bands").alias("band"))
+    first = [F.first(c).alias(c) for c in ("n", "bands", "low")]
+    classes = steps.keep(full.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *first), "classes")
+    spread = classes.select("cls", "n", F.explode("bands").alias("band"))
     pivot = F.max(F.struct(F.xxhash64("band", "cls").alias("h"), "cls"))
-    size = stored(spread.groupBy("band").agg(F.count("*").alias("c"), pivot.alias("p")).filter("c > 1").select("band", "c", F.col("p.cls").alias("pivot")), "buckets")
-    members = stored(spread.join(size, "band").select("band", "cls", "c", "pivot"), "members")
+    size = spread.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("total"), pivot.alias("p")).filter("c > 1")
+    size = steps.keep(size.select("band", "c", "total", F.col("p.cls").alias("pivot")), "buckets")
+    members = steps.keep(spread_join(spread.drop("n"), size, ["band"], "band", hot_keys(size, "band", "c"), ["cls"]), "members")
     small = members.filter(F.col("c") <= SMALL)
     pairs = small.groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
     pairs = pairs.select(F.posexplode("m").alias("i", "b"), "m").select(F.explode(F.expr("slice(m, i + 2, size(m))")).alias("a"), "b")
@@ -214,32 +223,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compare(pairs: DataFrame) -> DataFrame:
         """Sketches first (four standard deviations below the threshold), then whole sets."""
         p = _side_by_side(pairs.distinct(), low.withColumnRenamed("low", "v"))
-        return confirm(stored(mapped(p, _near(least), "a binary, b binary"), "near"))
+        return confirm(steps.keep(mapped(p, _near(least), "a binary, b binary"), "near"))
 
     def sets_of(need: DataFrame) -> DataFrame:
         """(cls, v): whole shingle sets of the classes in need, from the text of one document of each."""
         reps = need.join(classes.select("cls", "rep"), "cls").select("rep")
         text = src.join(reps, src.id.eqNullSafe(reps.rep), "left_semi")
-        return stored(mapped(text.select("text"), _sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
+        return steps.keep(mapped(text.select("text"), _sets, "cls binary, v binary").dropDuplicates(["cls"]), "sets")
 
     def confirm(p: DataFrame) -> DataFrame:
         sets = sets_of(p.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        return stored(mapped(_side_by_side(p, sets), _confirm(num, den), "a binary, b binary"), "links")
+        return steps.keep(mapped(_side_by_side(p, sets), _confirm(num, den), "a binary, b binary"), "links")
 
-    links = compare(pairs)
-    release(spark)
+    found = [compare(pairs)]
     large = members.filter(F.col("c") > SMALL)
-    found = [links]
     if large.limit(1).count():
-        found += _large_buckets(large, classes, compare, sets_of, least, num, den, found)
-    links = reduce(DataFrame.unionByName, found)
-    roots = components(links)
-    top = classes.select("cls", "rep").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    top = stored(top, "top")
-    lead = top.groupBy("root").agg(F.min("rep").alias("lead"))
-    named = stored(top.join(lead, "root").select("cls", "lead"), "named")
-    out = full.select("id", "n", "cls").join(named, "cls").unionByName(sig.filter("cls is null").select("cls", "id", "n", F.col("id").alias("lead")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lead").alias("component_id"), F.col("id").eqNullSafe(F.col("lead")).alias("kept"))
+        found += _large_buckets(large, classes, compare, sets_of, least, num, den, found, steps)
+    steps.drop("sets", "near")
+    roots = components(reduce(DataFrame.unionByName, found), steps)
+    top = steps.keep(classes.select("cls", "rep").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "top")
+    lead = steps.keep(top.groupBy("root").agg(F.min("rep").alias("lead"), F.count("*").alias("c")), "lead")
+    named = spread_join(top, lead.drop("c"), ["root"], "root", hot_keys(lead, "root", "c"), ["cls"]).select("cls", "lead")
+    named = spread_join(full.select("id", "n", "cls"), named, ["cls"], "cls", hot_keys(classes, "cls", "copies"), ["id"])
+    out = named.unionByName(sig.filter("cls is null").select("cls", "id", "n", F.col("id").alias("lead")))
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lead").alias("component_id"), F.col("id").eqNullSafe(F.col("lead")).alias("kept")), "near")
+    steps.drop()
+    return out
 
 
 def _blocks(least: int, num: int, den: int):
@@ -271,28 +280,33 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
-def _large_buckets(large: DataFrame, signs: DataFrame, compare, sets_of, least: int, num: int, den: int, found: list[DataFrame]) -> list[DataFrame]:
+def _large_buckets(large: DataFrame, signs: DataFrame, compare, sets_of, least: int, num: int, den: int, found: list[DataFrame], steps: Steps) -> list[DataFrame]:
     """Links of large buckets. PIVOTS rounds compare each class outside its bucket's main component with one pivot of it (at
     first with any pivot). Then the stragglers, classes that are still outside, are compared with all classes of the
-    bucket that aren't in their component, in blocks."""
+    bucket that aren't in their component, in blocks whose number follows the bucket's members and bytes; the blocks of one
+    bucket are dealt over DEAL tasks."""
     out: list[DataFrame] = []
     at = large.select("band", "cls", "pivot", F.col("cls").alias("root"), F.col("pivot").alias("main"))
     for k in range(PIVOTS + 1):
         if k:
-            roots = components(reduce(DataFrame.unionByName, [*found, *out]))
-            at = large.select("band", "cls").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+            roots = components(reduce(DataFrame.unionByName, [*found, *out]), steps)
+            at = steps.keep(large.select("band", "cls", "c", "total").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", "c", "total", F.coalesce("root", "cls").alias("root")), "at")
             sizes = at.groupBy("band", "root").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64(F.lit(k), "band", "cls").alias("h"), F.col("cls").alias("pivot"))).alias("p"))
             main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "p.pivot")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-            main = stored(main.filter("parts > 1").select("band", F.col("m.root").alias("main"), F.col("m.pivot").alias("pivot"), "n"), "main")
-            at = stored(at.join(main, "band"), "at")
+            main = steps.keep(main.filter("parts > 1").select("band", F.col("m.root").alias("main"), F.col("m.pivot").alias("pivot"), "n"), "main")
+            at = steps.keep(spread_join(at, main.drop("n"), ["band"], "band", hot_keys(main, "band", "n"), ["cls"]), "open")
         if k < PIVOTS:
             out.append(compare(at.filter("root <> main and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))))
     full = at.join(signs.select("cls", "bands", "low"), "cls").join(sets_of(at.select("cls").distinct()), "cls")
-    dealt = lambda size: F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / size).cast("int")).cast("int").alias("block")
+    count = lambda size: F.ceil(F.greatest(F.col("c") / size, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
+    block = lambda size: F.pmod(F.xxhash64("cls"), count(size)).cast("int").alias("block")
     item = F.collect_list(F.struct("cls", "root", "bands", "low", "v"))
-    members = full.groupBy("band", dealt(MEMBERS)).agg(item.alias("m"), F.min(F.array_position("bands", F.col("band")) - 1).alias("k"))
-    strays = full.filter("root <> main").groupBy("band", dealt(STRAYS)).agg(item.alias("s"))
-    out.append(stored(mapped(members.join(strays.drop("block"), "band").select(F.col("k").cast("int").alias("k"), "s", "m"), _blocks(least, num, den), "a binary, b binary"), "links"))
+    members = full.groupBy("band", block(MEMBERS)).agg(item.alias("m"), F.min(F.array_position("bands", F.col("band")) - 1).alias("k"))
+    members = members.withColumn("part", F.pmod("block", F.lit(DEAL)))
+    strays = full.filter("root <> main").groupBy("band", block(STRAYS)).agg(item.alias("s"), F.max(F.least(count(MEMBERS), F.lit(DEAL))).alias("parts"))
+    strays = strays.select("band", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = members.join(strays, ["band", "part"]).select(F.col("k").cast("int").alias("k"), "s", "m")
+    out.append(steps.keep(mapped(both, _blocks(least, num, den), "a binary, b binary", 1), "links"))
     return out
 
 
@@ -302,7 +316,23 @@ def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays; groups are linked at similarity 0.8, where a pair shares no
-    band of STAGE_ROWS with probability 3e-6. Rows are chosen by doc_id, so all rows stay that share a kept id, or a null one."""
-    kept = near_duplicates(docs, num=STAGE_NUM, rows=STAGE_ROWS).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Pipeline stage: one row of each group stays, the first by doc_id (null first), then text; groups are linked at similarity
+    0.8, where a pair shares no band of STAGE_ROWS with probability 3e-6. Rows are chosen one by one, whatever their ids."""
+    rows = keyed(docs, "doc_id", "text", carry=True)
+    kept = near_duplicates(rows, "key", num=STAGE_NUM, rows=STAGE_ROWS).filter("kept").select("key")
+    own = {"doc_id": F.col("id"), "text": F.col("text")}
+    return rows.join(kept, "key", "left_semi").select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: Sets of word strings, compared in all pairs that share one; components by a recursive closure.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+c AS (SELECT r AS v, r AS root FROM d UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.v),
+m AS (SELECT v, min(root) AS root FROM c GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, e.doc_id AS component_id, d.doc_id IS NOT DISTINCT FROM e.doc_id AS kept
+FROM d JOIN m ON m.v = d.r JOIN d e ON e.r = m.root LEFT JOIN n ON n.r = d.r
+"""

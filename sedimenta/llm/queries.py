@@ -5,7 +5,7 @@ from __future__ import annotations
 from sedimenta.llm.compression_quality import op7_quality_classifier
 from sedimenta.llm.decontaminate import OP9_SQL, op9_decontamination
 from sedimenta.llm.licenses import op10_license_scan
-from sedimenta.llm.near_dedup import op3_near_dedup
+from sedimenta.llm.near_dedup import OP3_SQL, op3_near_dedup
 from sedimenta.llm.packing import op8_packing
 from sedimenta.llm.quality_rules import op4_quality_rules
 from sedimenta.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: SQL of the queries that DuckDB can express; the others are tested against brute force, round trips or held-out rows.
-SQL = {"op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"op3_near_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sedimenta.llm.bytetext import BASE, CHUNK, U, chunks, column, mix, rolling, span
-from sedimenta.llm.common import Steps, fresh, hot_keys, mapped, spread_join, stored, table, text_of
+from sedimenta.llm.common import Steps, hot_keys, keyed, mapped, spread_join, stored, table, text_of
 
 LENGTH = 100
 GRAM = 32
@@ -148,19 +148,6 @@ def _covered(n: int, spans: list, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """(key, id, text, rest): key is a long of its own for each row, in order of id (null first), then text.
-    It is the id itself where ids are whole numbers, all different and none null; otherwise rows are sorted once, and a row's
-    key is the place of its partition and its place therein. rest holds the other columns, if carry."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if carry and c not in (id_col, text_col)]
-    (pad,) = fresh(docs, "pad")
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*rest, F.lit(0).alias(pad)).alias("rest"))
-    whole = d.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    if whole and not d.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():
-        return d.select(F.col("id").cast("long").alias("key"), "id", "text", "rest")
-    return stored(d.orderBy(F.col("id").asc_nulls_first(), "text").select(F.monotonically_increasing_id().alias("key"), "*"), "keyed")
-
-
 def _next_blocks(live: DataFrame, length: int, split: int) -> DataFrame:
     """The parts of blocks (r1, r2, s, w, key, a, x, y, bytes) with their new ranks; (s, w) is the range of offsets of which a block
     is a part, (x, y) those offsets of it that the block has, a the anchor's place, bytes what lies under its passages."""

@@ -40,7 +40,7 @@ def test_run_equals_plain_stages(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     flagged = {r.rest.doc_id: r.flagged for r in toxicity.score(docs, model).collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if not flagged[r.doc_id]]
-    kept = {r[0] for r in groups(rows) if r[3]}
+    kept = {r[0] for r in groups(rows, 80) if r[3]}
     rows = cut([r for r in rows if r[0] in kept])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r[0] for r in hits(rows, items) if not r[5]}
