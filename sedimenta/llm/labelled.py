@@ -8,10 +8,13 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import text_of
+from sedimenta.llm.common import stored, text_of
+
+#: Bytes of text that a class's sample may have in all, and a text of it.
+MOST_BYTES, LONGEST = 48 << 20, 1 << 20
 
 
 def trim() -> None:
@@ -28,16 +31,21 @@ def remainder(id_col: str, mod: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()):
-    """At most `most` rows of each class, least hashes first, of labels whose remainder isn't `held`:
-    (texts as an Arrow table with text, y, h and extra columns, weights that give the classes their shares
-    back). Null ids and labels are left out; an id that repeats has its largest label."""
+    """At most `most` rows of each class, least hashes first, of labels whose remainder isn't `held`, as far as MOST_BYTES
+    of text go: (texts as an Arrow table with text, y, h and extra columns, weights that give the classes their shares
+    back). Null ids and labels are left out, and so are texts beyond LONGEST bytes; a label's id that repeats has its largest label,
+    a document's id that repeats its least row."""
     want = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", mod) != held))
     want = want.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).select(F.col("doc_id").alias("lid"), "y", F.xxhash64("doc_id").alias("h"))
     total = {r.y: r["n"] for r in want.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [want.filter(F.col("y") == y).orderBy("h", "lid").limit(most) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])  # at most 2 * most rows
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), *[F.col(f"`{c}`") for c in extra])
-    got = src.join(F.broadcast(ids), src.id == ids.lid).select("text", "y", "h", *extra).orderBy("h", "text").toArrow()
+    rows = src.filter(F.octet_length("text") <= LONGEST).join(F.broadcast(ids), src.id == ids.lid).groupBy("lid", "y", "h").agg(F.min(F.struct("text", *extra)).alias("d"))
+    rows = stored(rows.select("lid", "y", "h", "d.*"), "sample")
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("h", "lid"))
+    chosen = rows.select("lid", size.alias("size")).filter(F.col("size") <= MOST_BYTES).select("lid")
+    got = rows.join(F.broadcast(chosen), "lid", "left_semi").select("text", "y", "h", *extra).orderBy("h", "text").toArrow()
     y = np.asarray(got.column("y").to_numpy(), int)
     weight = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
     return got, y, (weight / max(weight.sum(), 1e-9) * 2)[y] if len(y) else np.zeros(0)
