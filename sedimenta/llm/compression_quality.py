@@ -7,7 +7,6 @@ dictionaries didn't see, turns into the chance of label 1."""
 from __future__ import annotations
 
 import threading
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sedimenta.llm.common import mapped, table
+from sedimenta.llm.common import fresh, mapped, table
 from sedimenta.llm.labelled import platt, remainder, sample
 
 #: Labelled rows of each class at most; bytes of a dictionary; compression level.
 SAMPLE, DICTIONARY, LEVEL = 3000, 110 << 10, 3
-#: A text of the sample gives the dictionary's trainer one piece of at most so many bytes, from a hashed place, so that
-#: a few long texts don't fill the dictionary. Scores always take whole texts.
+#: The dictionary's trainer takes whole texts, in pieces of at most so many bytes.
 PIECE = 4000
 
 
@@ -64,8 +62,7 @@ def _compressors(good: bytes, bad: bytes):
 
 def dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; where there is too little text to train one, the text itself."""
-    starts = [zlib.crc32(t) % max(1, len(t) - PIECE + 1) for t in texts]
-    texts = [t[a : a + PIECE] for t, a in zip(texts, starts, strict=True) if t]
+    texts = [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
     size = min(DICTIONARY, max(1 << 10, sum(map(len, texts)) // 30))
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
@@ -100,7 +97,7 @@ def _score(model):
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(rest, score): rest is the row as a struct, score the chance of label 1 (0 to 1) from the whole text alone. Null is the empty
     text, which has a score like others. Rows are worked on one by one, so repeated rows and ids don't matter."""
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("__")).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text_"))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias(fresh(docs, "pad")[0])).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     kinds = StructType([src.schema["rest"], StructField("score", DoubleType())])
     return mapped(src, _score(docs.sparkSession.sparkContext.broadcast(model)), kinds)
 
