@@ -47,22 +47,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None
         open_.setdefault(state, []).append(block)
 
     def choose(n):
-        at = bisect_left(order, (n, 1, n * n))
-        if at == len(order):
-            return None
-        tight = order[at : at + WIDTH]
-        fit = [s for s in tight if s[1] >= 1 and s[2] >= n * n]
-        if not fit and at + WIDTH < len(order):
-            fit = [s for s in order[at:] if s[1] >= 1 and s[2] >= n * n]
-        if not fit:
-            return None
-        r = np.array(fit, float)
+        """The best of all open states with room, in order of residual tokens; the scan stops where no later state can win."""
         need = np.array([n, 1.0, n * n])
-        if rule == "dot":
-            score = ((1 - r / cap) * scale) @ need  # the residual's share is smaller where a bin is fuller
-        else:
-            score = -(((r - need) * scale) ** 2).sum(axis=1)
-        return fit[int(np.argmax(score))]
+        best, found = -np.inf, None
+        for at in range(bisect_left(order, (n, 1, n * n)), len(order), STEP):
+            r = np.array(order[at : at + STEP], float)
+            if rule == "dot":  # a residual's share is smaller where a bin is fuller
+                score = ((1 - r / cap) * scale) @ need
+                limit = (1 - r[0, 0] / cap[0]) * scale[0] * n + scale[1] + scale[2] * n * n
+            else:
+                score = -(((r - need) * scale) ** 2).sum(axis=1)
+                limit = -(((r[0, 0] - n) * scale[0]) ** 2)
+            if limit < best:
+                break
+            score[(r < need).any(axis=1)] = -np.inf
+            k = int(np.argmax(score))
+            if score[k] > best:
+                best, found = score[k], order[at + k]
+        return found
 
     for n in sorted((n for n in counts if n <= capacity), reverse=True):
         first, left = 0, counts[n]
@@ -101,8 +103,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None
     return runs
 
 
-#: States next above a piece's length among which the vector fit chooses; wider only if none of these has room.
-WIDTH = 64
+#: States that are scored at a time.
+STEP = 64
 
 
 def _pieces(tokenizer: str, capacity: int, end: int):

@@ -67,3 +67,25 @@ def test_null_repeated_and_clashing(spark):
     got = pack(df, FILE).collect()
     assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
     assert pack(df.limit(0), FILE).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_the_vector_fit_scores_all_open_states(rule):
+    """Against a plain version that places piece by piece and scores every open bin."""
+    r = random.Random(5)
+    counts = {n: r.randint(1, 4) for n in r.sample(range(1, 200), 60)}
+    cap, docs, cost, w = 200, 9, 45_000, (1.0, 2.0, 3.0)
+    limits, scale = np.array([cap, docs, cost], float), np.array(w) / np.array([cap, docs, cost], float)
+    runs = plan(counts, cap, docs, cost, rule, w)
+    left: dict[int, list] = {}
+    for n, _, count, seq, offset in runs:  # every run goes to a state than which no open one with room is better
+        need = np.array([n, 1.0, n * n])
+        value = lambda s: float(((1 - s / limits) * scale) @ need if rule == "dot" else -(((s - need) * scale) ** 2).sum())  # noqa: E731, B023
+        room = [value(s) for s in (np.array(v, float) for v in left.values()) if (s >= need).all() and s[0] > 0]
+        for q in range(seq, seq + count):
+            mine = left.setdefault(q, [cap, docs, cost])
+            assert offset == cap - mine[0]
+            if mine[0] < cap and q == seq:
+                assert value(np.array(mine, float)) == pytest.approx(max(room))
+            left[q] = [mine[0] - n, mine[1] - 1, mine[2] - n * n]
+            assert min(left[q]) >= 0
