@@ -14,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sedimenta.llm.bytetext import NOT_ALNUM, U, Words, chunks, column
-from sedimenta.llm.common import mapped, stored, table, text_of
+from sedimenta.llm.common import ARROW_ROWS, fresh, mapped, table, text_of
 
 WINDOW = 10
-#: Bytes of test texts that go to every task at a time; more are taken in blocks of this size, one after the other.
+#: Bytes of test texts that a worker holds at a time; more are taken in blocks of this size, one after the other.
 BLOCK = 16 << 20
 _PACK = 4
 
@@ -92,9 +94,18 @@ class Tests:
         return a, a | ((1 << 16 * (_PACK - k)) - 1)
 
 
-def _matches(tests: Tests, w: Words) -> tuple[np.ndarray, ...]:
+class Shard:
+    """Words of a chunk of documents and their suffix array."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, window: int):
+        w = Words(data, offs, NOT_ALNUM)
+        self.hash, self.doc, self.of = w.hash, w.doc, w.of
+        self.order, self.keys = suffix_array(w.hash, w.doc, window)
+
+
+def _matches(tests: Tests, w: Shard) -> tuple[np.ndarray, ...]:
     """(word place, item, words matched from there on) for each occurrence of a test window in a shard."""
-    order, keys = suffix_array(w.hash, w.doc, tests.window)
+    order, keys = w.order, w.keys
     lo, hi = np.searchsorted(keys[0], tests.head[:, 0], "left"), np.searchsorted(keys[0], tests.head[:, 1], "right")
     out = []
     for q in np.flatnonzero(hi > lo):
@@ -122,55 +133,56 @@ def _matches(tests: Tests, w: Words) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
 
 
-_MATCH = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64())])
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _scan(tests, window: int):
-    """Adds a block's matches to those of earlier blocks; columns: id, rest, text, n_words, spans, items, longest."""
+def _merged(pairs) -> list[dict]:
+    out: list[dict] = []
+    for a, b in sorted(pairs):
+        if out and a <= out[-1]["end"]:
+            out[-1]["end"] = max(b, out[-1]["end"])
+        else:
+            out.append({"start": a, "end": b})
+    return out
+
+
+def _scan(tests: list, window: int, kind: pa.DataType):
+    """Adds n_words, spans, items and longest to rows (id, rest, text). The suffix arrays of a batch's shards are made once and
+    searched for one block of test items after the other; a worker holds one block at a time."""
+    match = pa.struct([("item_id", kind), ("start", pa.int64()), ("words", pa.int64())])
 
     def run(batches):
-        t = tests.value
         for batch in batches:
-            data, offs = column(batch, "text")
-            old = [batch.column(c).to_pylist() for c in ("spans", "items", "longest")]
-            n_words, spans, items, longest = [], [], [], []
-            for x, y, d, o in chunks(data, offs):
-                w = Words(d, o, NOT_ALNUM)
-                at, item, k, long = _matches(t, w)
-                doc = w.doc[at] if len(at) else at
-                by = np.argsort(doc, kind="stable")
-                cut = np.searchsorted(doc[by], np.arange(y - x + 1))
-                n_words += np.diff(w.of).tolist()
-                for i in range(y - x):
-                    rows = by[cut[i] : cut[i + 1]]
-                    pairs = [*(tuple(s.values()) for s in old[0][x + i] or ())]
-                    ids, best = set(old[1][x + i] or ()), old[2][x + i]
-                    if len(rows):
+            shards = [(x, y, Shard(d, o, window)) for x, y, d, o in chunks(*column(batch, "text"))]
+            n = batch.num_rows
+            pairs, items, best = [set() for _ in range(n)], [set() for _ in range(n)], [None] * n
+            for block in tests:
+                t = block.value if len(tests) == 1 else block.load_from_path(block._path)
+                for x, y, w in shards:
+                    at, item, k, long = _matches(t, w)
+                    if not len(at):
+                        continue
+                    doc = w.doc[at]
+                    by = np.argsort(doc, kind="stable")
+                    cut = np.searchsorted(doc[by], np.arange(y - x + 1))
+                    for i in np.unique(doc):
+                        rows = by[cut[i] : cut[i + 1]]
                         a = at[rows] - w.of[i]
-                        pairs += zip(a.tolist(), (a + k[rows]).tolist(), strict=True)
-                        ids |= {t.ids[j] for j in set(item[rows].tolist())}
+                        pairs[x + i].update(zip(a.tolist(), (a + k[rows]).tolist(), strict=True))
+                        items[x + i] |= {t.ids[j] for j in set(item[rows].tolist())}
                         top = rows[np.lexsort((item[rows], a, -long[rows]))[0]]
-                        if best is None or long[top] > best["words"]:
-                            best = {"item_id": t.ids[item[top]], "start": int(at[top] - w.of[i]), "words": int(long[top])}
-                    merged: list[list[int]] = []
-                    for s, e in sorted(pairs):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(e, merged[-1][1])
-                        else:
-                            merged.append([s, e])
-                    spans.append([{"start": s, "end": e} for s, e in merged])
-                    items.append(sorted(ids, key=str))
-                    longest.append(best)
-            cols = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.int64())), pa.array(longest, _MATCH)]
+                        if best[x + i] is None or long[top] > best[x + i]["words"]:
+                            best[x + i] = {"item_id": t.ids[item[top]], "start": int(at[top] - w.of[i]), "words": int(long[top])}
+            n_words = [k for _, _, w in shards for k in np.diff(w.of).tolist()]
+            cols = [pa.array(n_words, pa.int64()), pa.array(list(map(_merged, pairs)), pa.list_(_SPAN)), pa.array([sorted(v, key=str) for v in items], pa.list_(kind)), pa.array(best, match)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "rest", "text")), *cols], ["id", "rest", "text", "n_words", "spans", "items", "longest"])
 
     return run
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
-    """Test items in blocks of at most `limit` bytes (a longer item is a block of its own)."""
-    b = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), text_of(text_col).alias("t")).filter("i is not null")
+    """Test items in blocks of at most `limit` bytes (a longer item is a block of its own), one at a time."""
+    b = benchmark.select(F.col(f"`{item_col}`").alias("i"), text_of(text_col).alias("t")).filter("i is not null")
     ids, texts, size = [], [], 0
     for r in b.orderBy("i", "t").toLocalIterator():
         n = len(r.t.encode())
@@ -183,27 +195,27 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK, carry: bool = False) -> DataFrame:
-    """Verbatim matches of test items in documents.
+    """Verbatim matches of test items in documents, in one scan of the documents.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A test window is `window` consecutive
     words of an item; an item of fewer, but not none, is one window. Returns a row for each row: id_col, n_words, n_hit
     (words inside any occurrence of a window), n_items, items_sha256 (of the items' ids, sorted as strings, comma-joined),
     contaminated, spans (word places), items, longest (item_id, start, words of the longest match); with carry also rest, a struct
-    of the documents' other columns. Null or empty texts have no words. Repeated rows and null ids are rows like others; items with
-    a null id are left out, and items that share an id count once. Empty tables: no rows, or no hits.
+    of the documents' other columns. Item ids keep their type, whatever it is. Null or empty texts have no words. Repeated rows and
+    null ids are rows like others; items with a null id are left out, and items that share an id count once. Empty tables: no
+    rows, or no hits. Test items go to the workers in blocks of at most `block` bytes of text.
     """
     spark = docs.sparkSession
-    rest = [F.col(f"`{c}`") for c in docs.columns if carry and c not in (id_col, text_col)]
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*rest, F.lit(0).alias("__")).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kinds = "n_words long, spans array<struct<start: long, end: long>>, items array<long>, longest struct<item_id: long, start: long, words: long>"
-    rows = rows.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (x.split(" ", 1) for x in ("spans array<struct<start: long, end: long>>", "items array<long>", "longest struct<item_id: long, start: long, words: long>"))])
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, text string, {kinds}"
-    for k, (ids, texts) in enumerate(_blocks(benchmark, item_col, item_text, block)):
-        if k:  # one block's test items in memory at a time
-            rows = stored(rows, "block").drop("n_words")
-        rows = mapped(rows, _scan(spark.sparkContext.broadcast(Tests(ids, texts, window)), window), schema)
+    rest, (pad,) = [F.col(f"`{c}`") for c in docs.columns if carry and c not in (id_col, text_col)], fresh(docs, "pad")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*rest, F.lit(0).alias(pad)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    item = benchmark.select(F.col(f"`{item_col}`").alias("i")).schema["i"].dataType
+    span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+    longest = StructType([StructField("item_id", item), StructField("start", LongType()), StructField("words", LongType())])
+    schema = StructType([*rows.schema.fields, StructField("n_words", LongType()), StructField("spans", span), StructField("items", ArrayType(item)), StructField("longest", longest)])
+    tests = [spark.sparkContext.broadcast(Tests(ids, texts, window)) for ids, texts in _blocks(benchmark, item_col, item_text, block)]
+    rows = mapped(rows, _scan(tests, window, to_arrow_type(item)), schema, 4 * ARROW_ROWS if len(tests) > 1 else ARROW_ROWS)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    digest = F.sha2(F.concat_ws(",", F.col("items").cast("array<string>")), 256)
+    digest = F.sha2(F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>"))), 256)
     out = rows.select("id", *(["rest", "text"] if carry else []), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", "items", "longest")
     return out.withColumnRenamed("id", id_col)
 

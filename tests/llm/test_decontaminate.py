@@ -72,6 +72,14 @@ def test_longest_match_and_empty_tables(spark):
     assert contamination(d.limit(0), b).count() == 0
 
 
+def test_string_ids_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "one two three", 1, 2)], "doc_id long, text string, __ int, pad int")
+    b = spark.createDataFrame([("b,x", "two three"), ("a", "ONE"), (None, "two"), ("10", "four")], "item_id string, text string")
+    r = contamination(d, b, carry=True, block=4).first()
+    assert r["items"] == ["a", "b,x"] and r.items_sha256 == hashlib.sha256(b"a,b,x").hexdigest() and r.longest.item_id == "b,x"
+    assert (r.rest["__"], r.rest["pad"], r.n_hit) == (1, 2, 3)
+
+
 def test_suffix_array_is_sorted():
     r = np.random.default_rng(0)
     w = decontaminate.U(1 << 48) * r.integers(2, 9, 400).astype(np.uint64) * decontaminate.U(2)
