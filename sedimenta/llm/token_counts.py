@@ -8,9 +8,11 @@ has most of it (the earlier of equals), "share" to each by its part of the bytes
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +21,30 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from sedimenta.llm.common import mapped, table
 
 RULES = ("start", "end", "largest", "share")
-_made: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
+_made: dict[tuple[str, str], tuple[tiktoken.Encoding, np.ndarray]] = {}
+#: Runs of white space from this length on are beyond what the encoder's own pattern matcher can take.
+_LONG = re.compile(r"\s{10000}")
 
 
 def encoding(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoding of a .tiktoken file and the byte length of each of its tokens; one for each worker process."""
-    if path not in _made:
+    if (path, pattern) not in _made:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
             sizes[i] = len(t)
-        _made[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
-    return _made[path]
+        _made[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
+    return _made[path, pattern]
 
 
 def spans(enc: tiktoken.Encoding, sizes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each token of a text."""
-    end = np.cumsum(sizes[np.asarray(enc.encode_ordinary(text), np.int64)])
+    if _LONG.search(text):  # the same pattern, split here
+        ids = [i for m in regex.finditer(enc._pat_str, text) for i in enc._encode_single_piece(m[0])]
+    else:
+        ids = enc.encode_ordinary(text)
+    end = np.cumsum(sizes[np.asarray(ids, np.int64)])
     return np.append(0, end)[:-1], end
 
 
