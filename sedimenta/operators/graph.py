@@ -48,13 +48,26 @@ def impact(e: DataFrame, targets: list, hops: int = 3, cap: int = 400) -> DataFr
     return reached.filter("depth > 0")
 
 
-def risk(direct: Column, files: Column, tests: Column, together: Column, ratio: Column, churn: Column) -> Column:
+def risk(direct: Column, transitive: Column, files: Column, tests: Column, together: Column, ratio: Column, churn: Column) -> Column:
     """Risk points of a change: breadth, missing tests, strong co-change and churn."""
     p = F.when(direct >= 10, 3).when(direct >= 3, 2).when(direct >= 1, 1).otherwise(0)
     p = p + F.when(files >= 8, 2).when(files >= 3, 1).otherwise(0)
-    p = p + F.when((tests == 0) & (direct > 0), 2).otherwise(0)
+    p = p + F.when((tests == 0) & (transitive > 0), 2).otherwise(0)
     p = p + F.when((ratio >= 0.4) & (together >= 3), 1).otherwise(0)
-    return p + F.when(churn >= 50, 1).otherwise(0)
+    return p + F.when(F.coalesce(churn, F.lit(0)) >= 50, 1).otherwise(0)
+
+
+def risk_reasons(direct: Column, transitive: Column, files: Column, tests: Column, together: Column, ratio: Column, partner: Column, churn: Column) -> Column:
+    """What each of the points of risk() was given for; partner is the path that changes together most."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    said = [
+        F.when(direct >= 3, text(direct, " direct callers or importers")).when(direct >= 1, text(direct, " direct caller", F.when(direct > 1, "s").otherwise(""))),
+        F.when(files >= 3, text("reaches code in ", files, " other files")),
+        F.when((tests == 0) & (transitive > 0), F.lit("no test code reaches it in the static call graph")),
+        F.when((ratio >= 0.4) & (together >= 3), text("usually changes together with ", partner, " (", F.floor(ratio * 100), "% of its commits)")),
+        F.when(F.coalesce(churn, F.lit(0)) >= 50, text("its file changed in ", churn, " commits")),
+    ]
+    return F.filter(F.array(*said), lambda x: x.isNotNull())
 
 
 def risk_level(points: Column) -> Column:
@@ -100,12 +113,50 @@ def g07(t):
     return impact(depends(t).select("src", "dst", "confidence"), [1], cap=10**9)
 
 
-@query("a14_impact_summary", f"""{_IMPACT_SQL} SELECT count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive, count(DISTINCT p_brand) AS files,
-count(*) FILTER (WHERE p_size % 10 = 0) AS tests, count(DISTINCT CASE WHEN p_size % 10 = 0 THEN p_brand END) AS test_files FROM reached JOIN part ON p_partkey = node""")
-def a14(t):
+_SUMMARY_SQL = """SELECT count(*) FILTER (WHERE depth = 1 AND p_size % 10 <> 0) AS direct, count(*) FILTER (WHERE p_size % 10 <> 0) AS transitive,
+count(DISTINCT CASE WHEN p_size % 10 <> 0 AND p_brand <> (SELECT p_brand FROM part WHERE p_partkey = 1) THEN p_brand END) AS files,
+count(*) FILTER (WHERE p_size % 10 = 0) AS tests, count(DISTINCT CASE WHEN p_size % 10 = 0 THEN p_brand END) AS test_files FROM reached JOIN part ON p_partkey = node"""
+
+
+def impact_summary(dependents: DataFrame, own_path: DataFrame) -> DataFrame:
+    """One row of counts over dependents (path, is_test, depth): direct and all non-test dependents, their files other than the
+    target's own (own_path: one row, own), test dependents and their files."""
+    d = dependents.crossJoin(F.broadcast(own_path))  # one row
+    code = ~F.col("is_test")
+    return d.agg(F.count_if(code & (F.col("depth") == 1)).alias("direct"), F.count_if(code).alias("transitive"), F.countDistinct(F.when(code & (F.col("path") != F.col("own")), F.col("path"))).alias("files"), F.count_if("is_test").alias("tests"), F.countDistinct(F.when(F.col("is_test"), F.col("path"))).alias("test_files"))
+
+
+def _summary(t):
     r = impact(depends(t).select("src", "dst", "confidence"), [1], cap=10**9).join(t.part, F.col("node") == F.col("p_partkey"))
-    test = F.col("p_size") % 10 == 0
-    return r.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.countDistinct("p_brand").alias("files"), F.count_if(test).alias("tests"), F.countDistinct(F.when(test, F.col("p_brand"))).alias("test_files"))
+    r = r.select(F.col("p_brand").alias("path"), (F.col("p_size") % 10 == 0).alias("is_test"), "depth")
+    return impact_summary(r, t.part.filter("p_partkey = 1").select(F.col("p_brand").alias("own")))
+
+
+@query("a14_impact_summary", f"{_IMPACT_SQL} {_SUMMARY_SQL}")
+def a14(t):
+    return _summary(t)
+
+
+@query("g08_impact_report", f"""{_IMPACT_SQL}, s AS ({_SUMMARY_SQL}), f AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem),
+m AS (SELECT sha FROM f WHERE path = 1), k AS (SELECT count(*) AS churn FROM m),
+o AS (SELECT path, count(*) AS together FROM f SEMI JOIN m USING (sha) WHERE path <> 1 GROUP BY path ORDER BY together DESC, path LIMIT 1),
+x AS (SELECT s.*, churn, coalesce(together, 0) AS together, coalesce(round(together / churn, 2), 0) AS ratio, o.path AS partner FROM s, k LEFT JOIN o ON true),
+p AS (SELECT *, (CASE WHEN direct >= 10 THEN 3 WHEN direct >= 3 THEN 2 WHEN direct >= 1 THEN 1 ELSE 0 END) + (CASE WHEN files >= 8 THEN 2 WHEN files >= 3 THEN 1 ELSE 0 END) + (CASE WHEN tests = 0 AND transitive > 0 THEN 2 ELSE 0 END)
+ + (CASE WHEN ratio >= 0.4 AND together >= 3 THEN 1 ELSE 0 END) + (CASE WHEN churn >= 50 THEN 1 ELSE 0 END) AS points FROM x)
+SELECT direct, transitive, files, tests, churn, points, CASE WHEN points >= 5 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level,
+array_to_string(list_filter([CASE WHEN direct >= 3 THEN direct || ' direct callers or importers' WHEN direct >= 1 THEN direct || ' direct caller' || CASE WHEN direct > 1 THEN 's' ELSE '' END END,
+CASE WHEN files >= 3 THEN 'reaches code in ' || files || ' other files' END, CASE WHEN tests = 0 AND transitive > 0 THEN 'no test code reaches it in the static call graph' END,
+CASE WHEN ratio >= 0.4 AND together >= 3 THEN 'usually changes together with ' || partner || ' (' || CAST(floor(ratio * 100) AS BIGINT) || '% of its commits)' END,
+CASE WHEN churn >= 50 THEN 'its file changed in ' || churn || ' commits' END], lambda r: r IS NOT NULL), '; ') AS reasons FROM p""")
+def g08(t):
+    f = t.lineitem.select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path")).distinct()
+    mine = f.filter("path = 1").select("sha")
+    other = f.filter("path <> 1").join(mine, "sha", "left_semi").groupBy("path").agg(F.count("*").alias("together")).orderBy(F.desc("together"), "path").limit(1)
+    one = _summary(t).crossJoin(mine.agg(F.count("*").alias("churn"))).join(other.select(F.col("path").alias("partner"), "together"), F.lit(True), "left")  # one row each
+    x = one.withColumns({"together": F.coalesce("together", F.lit(0)), "ratio": F.coalesce(F.round(F.col("together") / F.col("churn"), 2), F.lit(0.0))})
+    cols = [F.col(k) for k in ("direct", "transitive", "files", "tests", "together", "ratio")]
+    points = risk(*cols, F.col("churn"))
+    return x.select("direct", "transitive", "files", "tests", "churn", points.alias("points"), risk_level(points).alias("level"), F.array_join(risk_reasons(*cols, F.col("partner"), F.col("churn")), "; ").alias("reasons"))
 
 
 @query("a15_dependents_by_file", f"{_IMPACT_SQL} SELECT p_brand AS path, count(*) AS symbols, min(depth) AS depth FROM reached JOIN part ON p_partkey = node GROUP BY 1 ORDER BY depth, path LIMIT 60")
@@ -114,16 +165,16 @@ def a15(t):
     return r.groupBy(F.col("p_brand").alias("path")).agg(F.count("*").alias("symbols"), F.min("depth").alias("depth")).orderBy("depth", "path").limit(60)
 
 
-@query("g10_risk", f"""WITH {DEPENDS_SQL}, d AS (SELECT dst AS part, count(*) AS direct, count(DISTINCT p_brand) AS files, count(*) FILTER (WHERE p_size % 10 = 0) AS tests FROM depends JOIN part ON p_partkey = src GROUP BY dst),
+@query("g10_risk", f"""WITH {DEPENDS_SQL}, d AS (SELECT dst AS part, count(*) FILTER (WHERE p_size % 10 <> 0) AS direct, count(DISTINCT CASE WHEN p_size % 10 <> 0 THEN p_brand END) AS files, count(*) FILTER (WHERE p_size % 10 = 0) AS tests FROM depends JOIN part ON p_partkey = src GROUP BY dst),
 c AS (SELECT l_partkey AS part, count(DISTINCT l_orderkey) AS churn FROM lineitem GROUP BY 1),
 x AS (SELECT part, direct, files, tests, churn, (CASE WHEN direct >= 10 THEN 3 WHEN direct >= 3 THEN 2 WHEN direct >= 1 THEN 1 ELSE 0 END) + (CASE WHEN files >= 8 THEN 2 WHEN files >= 3 THEN 1 ELSE 0 END)
 + (CASE WHEN tests = 0 AND direct > 0 THEN 2 ELSE 0 END) + (CASE WHEN churn >= 50 THEN 1 ELSE 0 END) AS points FROM d JOIN c USING (part))
 SELECT *, CASE WHEN points >= 5 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level FROM x""")
 def g10(t):
     p = t.part.select(F.col("p_partkey").alias("src"), "p_brand", "p_size")
-    d = depends(t).join(p, "src").groupBy(F.col("dst").alias("part")).agg(F.count("*").alias("direct"), F.countDistinct("p_brand").alias("files"), F.count_if(F.col("p_size") % 10 == 0).alias("tests"))
+    d = depends(t).join(p, "src").groupBy(F.col("dst").alias("part")).agg(F.count_if(F.col("p_size") % 10 != 0).alias("direct"), F.countDistinct(F.when(F.col("p_size") % 10 != 0, F.col("p_brand"))).alias("files"), F.count_if(F.col("p_size") % 10 == 0).alias("tests"))
     c = t.lineitem.groupBy(F.col("l_partkey").alias("part")).agg(F.countDistinct("l_orderkey").alias("churn"))
-    x = d.join(c, "part").withColumn("points", risk(F.col("direct"), F.col("files"), F.col("tests"), F.lit(0), F.lit(0.0), F.col("churn")))
+    x = d.join(c, "part").withColumn("points", risk(F.col("direct"), F.col("direct"), F.col("files"), F.col("tests"), F.lit(0), F.lit(0.0), F.col("churn")))
     return x.withColumn("level", risk_level(F.col("points")))
 
 

@@ -8,18 +8,25 @@ from sedimenta.functions import text as X
 from sedimenta.plans.registry import query
 
 c = F.col
+# The words that questions don't search for, once more for the SQL.
+_STOP = """a an and are as at be but by can could did do does for from had has have how i if in
+into is it its me my of on or our should so that the their them then there these this
+those to was we were what when where which who whom why will with would you your
+code function file files repo repository used use uses using does doing exist exists
+introduced introduce change changed changes please explain tell show way work works
+implemented implement written write happen happens affect affected"""
 
 
 @query("x04_query_terms", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS n FROM benchmark), e AS (SELECT item_id, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM w),
 p AS (SELECT item_id, i, 0 AS j, lower(n) AS x FROM e UNION ALL SELECT item_id, i, generate_subscripts(q, 1) AS j, lower(unnest(q)) AS x FROM (SELECT item_id, i, regexp_extract_all(n, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS q FROM e)),
-g AS (SELECT item_id, x, min(i * 1000 + j) AS o FROM p WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (""" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + r""") GROUP BY 1, 2)
+g AS (SELECT item_id, x, min(i * 1000 + j) AS o FROM p WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (""" + ", ".join(f"'{w}'" for w in _STOP.split()) + r""") GROUP BY 1, 2)
 SELECT item_id, array_to_string(list_slice(array_agg(x ORDER BY o), 1, 24), ' ') AS terms FROM g GROUP BY 1""")
 def x04(t):
     return t.benchmark.select("item_id", F.array_join(X.query_terms(c("text")), " ").alias("terms"))
 
 
 def _stem_sql(w: str) -> str:
-    return "CASE " + " ".join(f"WHEN {w} LIKE '%{s}' AND length({w}) >= {len(s) + 4} THEN left({w}, length({w}) - {len(s)})" for s in X.SUFFIXES) + f" ELSE {w} END"
+    return "CASE " + " ".join(f"WHEN {w} LIKE '%{s}' AND length({w}) >= {len(s) + 4} THEN left({w}, length({w}) - {len(s)})" for s in ("ations", "ation", "ings", "ing", "ers", "ies", "er", "es", "ed", "s")) + f" ELSE {w} END"
 
 
 @query("x05_word_stem", f"WITH w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS w FROM part UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark) SELECT w, {_stem_sql('w')} AS stem FROM w")
@@ -63,7 +70,7 @@ def x16(t):
 
 
 @query("x17_references", r"""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, 'Fixes #' || l_partkey || ', see #' || l_suppkey || ' and org/repo#7 &#8; closes: #' || l_linenumber || ' x#9' AS s FROM lineitem),
-r AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(s, '(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+(?:[\w.-]+/[\w.-]+)?#(\d+)', 1), lambda x: CAST(x AS INTEGER)))) AS f,
+r AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(s, '(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+(?:[\w.-]+/[\w.-]+)?#(\d+)', 1), lambda x: CAST(x AS INTEGER)))) AS f,
 list_distinct(list_transform(regexp_extract_all(s, '(?:^|[^\w/&])#(\d+)', 1), lambda x: CAST(x AS INTEGER))) AS m FROM b)
 SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(f, ',') AS fixes, array_to_string(list_sort(list_filter(m, lambda x: NOT list_contains(f, x))), ',') AS mentions FROM r""")
 def x17(t):
@@ -71,7 +78,7 @@ def x17(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(X.fixes(s), ",").alias("fixes"), F.array_join(X.mentions(s), ",").alias("mentions"))
 
 
-@query("x18_clean_body", r"SELECT page_id, length(trim(regexp_replace(html, '<!--.*?-->', '', 'gs'), ' ')) AS n FROM pages")
+@query("x18_clean_body", r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '^\s+|\s+$', '', 'g')) AS n FROM pages")
 def x18(t):
     return t.pages.select("page_id", F.length(X.clean_body(c("html"))).alias("n"))
 
@@ -102,12 +109,12 @@ def x13(t):
     return t.part.select("p_partkey", X.directory_group(path, 2).alias("grp"))
 
 
-@query("f05_test_path", r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'pkg/tests/' || p_partkey || '.py' WHEN 1 THEN 'a/test_' || p_partkey WHEN 2 THEN 'b/x_test.go' WHEN 3 THEN 'b/latest/x.go' WHEN 4 THEN 'c/FooTest.java' ELSE 'c/attest_x.py' END AS path FROM part)
-SELECT p_partkey, regexp_matches(path, '(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|Tests?\.[a-z]+$') AS is_test FROM p""")
+@query("f05_test_path", r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 6 THEN 'testing/a.py' WHEN 7 THEN 'a/b.test.css' WHEN 8 THEN 'a/b.spec.mts' WHEN 0 THEN 'pkg/tests/' || p_partkey || '.py' WHEN 1 THEN 'a/test_' || p_partkey WHEN 2 THEN 'b/x_test.go' WHEN 3 THEN 'b/latest/x.go' WHEN 4 THEN 'c/FooTest.java' ELSE 'c/attest_x.py' END AS path FROM part)
+SELECT p_partkey, regexp_matches(path, '(^|/)(tests?|__tests__|spec|specs|testing)(/|$)|(^|/)test_[^/]*$|_test\.\w+$|\.(test|spec)\.[cm]?[jt]sx?$|Tests?\.\w+$') AS is_test FROM p""")
 def f05(t):
     k = c("p_partkey")
     s = k.cast("string")
-    path = F.when(k % 6 == 0, F.concat(F.lit("pkg/tests/"), s, F.lit(".py"))).when(k % 6 == 1, F.concat(F.lit("a/test_"), s)).when(k % 6 == 2, "b/x_test.go").when(k % 6 == 3, "b/latest/x.go").when(k % 6 == 4, "c/FooTest.java").otherwise("c/attest_x.py")
+    path = F.when(k % 9 == 6, "testing/a.py").when(k % 9 == 7, "a/b.test.css").when(k % 9 == 8, "a/b.spec.mts").when(k % 9 == 0, F.concat(F.lit("pkg/tests/"), s, F.lit(".py"))).when(k % 9 == 1, F.concat(F.lit("a/test_"), s)).when(k % 9 == 2, "b/x_test.go").when(k % 9 == 3, "b/latest/x.go").when(k % 9 == 4, "c/FooTest.java").otherwise("c/attest_x.py")
     return t.part.select("p_partkey", X.is_test_path(path).alias("is_test"))
 
 
@@ -139,7 +146,7 @@ def x20(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", X.hunk_span(_diff()).alias("h")).select("l_orderkey", "l_partkey", "l_suppkey", c("h.start"), c("h.end").alias("stop"))
 
 
-@query("x19_trim_diff", f"""WITH k AS (SELECT l_orderkey, l_partkey, l_suppkey, list_filter(string_split({_DIFF}, chr(10)), lambda x: NOT regexp_matches(x, '^(diff |index |--- |\\+\\+\\+ )')) AS d FROM lineitem)
+@query("x19_trim_diff", f"""WITH k AS (SELECT l_orderkey, l_partkey, l_suppkey, list_filter(string_split({_DIFF}, chr(10)), lambda x: NOT (starts_with(x, 'diff --git') OR starts_with(x, '--- ') OR starts_with(x, '+++ '))) AS d FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, array_to_string(list_slice(d, 1, 4), chr(10)) || CASE WHEN len(d) > 4 THEN chr(10) || '… (' || (len(d) - 4) || ' more diff lines)' ELSE '' END AS text FROM k""")
 def x19(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", X.trim_diff(_diff(), 4).alias("text"))
@@ -191,3 +198,24 @@ def markdown_sections(docs, id_col: str, text_col: str):
     rows = docs.select(id_col, F.explode(F.aggregate(indexed, zero, step, lambda a: a["out"])).alias("r"))
     g = rows.groupBy(id_col, "r.sec").agg(F.min("r.i").cast("long").alias("start"), F.max("r.i").cast("long").alias("stop"), F.min_by("r.line", "r.i").alias("line"))
     return g.select(id_col, c("sec").cast("decimal(38,0)").alias("sec"), "start", "stop", F.trim(F.regexp_replace("line", r"^#+", "")).alias("title"))
+
+
+@query("x06_lexical_query", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS n FROM benchmark), e AS (SELECT item_id, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM w),
+p AS (SELECT item_id, i, 0 AS j, lower(n) AS x FROM e UNION ALL SELECT item_id, i, generate_subscripts(q, 1) AS j, lower(unnest(q)) AS x FROM (SELECT item_id, i, regexp_extract_all(n, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS q FROM e)),
+g AS (SELECT item_id, x, min(i * 1000 + j) AS o FROM p WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (""" + ", ".join(f"'{w}'" for w in _STOP.split()) + rf""") GROUP BY 1, 2),
+t AS (SELECT item_id, x, o FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o) AS k FROM g) WHERE k <= 24),
+s AS (SELECT item_id, o, CASE WHEN length({_stem_sql('x')}) >= 4 THEN {_stem_sql('x')} || ':*' ELSE x END AS y FROM t)
+SELECT item_id, string_agg(y, ' | ' ORDER BY o) AS query FROM (SELECT item_id, y, min(o) AS o FROM s GROUP BY 1, 2) GROUP BY 1""")
+def x06(t):
+    return t.benchmark.select("item_id", X.lexical_query(c("text")).alias("query")).filter("query <> ''")
+
+
+@query("v04_added_lines", f"SELECT l_orderkey, l_partkey, l_suppkey, array_to_string(list_transform(range(CAST(l_orderkey AS BIGINT), CAST(l_orderkey + l_linenumber AS BIGINT)), lambda x: CAST(x AS VARCHAR)), ',') AS lines FROM lineitem WHERE length({_DIFF}) > 0")
+def v04(t):
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.array_join(X.added_lines(_diff()), ",").alias("lines"))
+
+
+@query("s18_unnest_list", "SELECT u AS term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS u FROM part) GROUP BY 1")
+def s18(t):
+    """An array parameter as rows, counted."""
+    return t.part.select(F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from sedimenta.plans.registry import FUNCTIONS, SQL, Tables, query
 
 NAMES = (
     "g07_impact_closure", "a14_impact_summary", "a15_dependents_by_file", "g06_file_neighborhood", "g10_risk", "g16_overview",
-    "t09_dependents_order", "v01_top_edges_per_source", "v06_dependents_split", "v10_neighborhood_columns", "v11_hide_node",
+    "g08_impact_report", "t09_dependents_order", "v01_top_edges_per_source", "v06_dependents_split", "v10_neighborhood_columns", "v11_hide_node",
 )
 
 
