@@ -17,9 +17,12 @@ introduced introduce change changed changes please explain tell show way work wo
 implemented implement written write happen happens affect affected"""
 
 
+STOP_SQL = ", ".join(f"'{w}'" for w in _STOP.split())
+
+
 @query("x04_query_terms", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS n FROM benchmark), e AS (SELECT item_id, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM w),
 p AS (SELECT item_id, i, 0 AS j, lower(n) AS x FROM e UNION ALL SELECT item_id, i, generate_subscripts(q, 1) AS j, lower(unnest(q)) AS x FROM (SELECT item_id, i, regexp_extract_all(n, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS q FROM e)),
-g AS (SELECT item_id, x, min(i * 1000 + j) AS o FROM p WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (""" + ", ".join(f"'{w}'" for w in _STOP.split()) + r""") GROUP BY 1, 2)
+g AS (SELECT item_id, x, min(i * 1000 + j) AS o FROM p WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (""" + STOP_SQL + r""") GROUP BY 1, 2)
 SELECT item_id, array_to_string(list_slice(array_agg(x ORDER BY o), 1, 24), ' ') AS terms FROM g GROUP BY 1""")
 def x04(t):
     return t.benchmark.select("item_id", F.array_join(X.query_terms(c("text")), " ").alias("terms"))
@@ -200,12 +203,16 @@ def markdown_sections(docs, id_col: str, text_col: str):
     return g.select(id_col, c("sec").cast("decimal(38,0)").alias("sec"), "start", "stop", F.trim(F.regexp_replace("line", r"^#+", "")).alias("title"))
 
 
-@query("x06_lexical_query", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS n FROM benchmark), e AS (SELECT item_id, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM w),
-p AS (SELECT item_id, i, 0 AS j, lower(n) AS x FROM e UNION ALL SELECT item_id, i, generate_subscripts(q, 1) AS j, lower(unnest(q)) AS x FROM (SELECT item_id, i, regexp_extract_all(n, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS q FROM e)),
-g AS (SELECT item_id, x, min(i * 1000 + j) AS o FROM p WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (""" + ", ".join(f"'{w}'" for w in _STOP.split()) + rf""") GROUP BY 1, 2),
-t AS (SELECT item_id, x, o FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o) AS k FROM g) WHERE k <= 24),
-s AS (SELECT item_id, o, CASE WHEN length({_stem_sql('x')}) >= 4 THEN {_stem_sql('x')} || ':*' ELSE x END AS y FROM t)
-SELECT item_id, string_agg(y, ' | ' ORDER BY o) AS query FROM (SELECT item_id, y, min(o) AS o FROM s GROUP BY 1, 2) GROUP BY 1""")
+def terms_sql(key: str, table: str, text: str) -> str:
+    """CTEs up to q (qid, root, is_prefix, o): terms of questions, their stems as prefixes."""
+    return r"""w_ AS (SELECT KEY, regexp_extract_all(TEXT, '[A-Za-z_][A-Za-z0-9_]*') AS n FROM TABLE_), e_ AS (SELECT KEY, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM w_),
+p_ AS (SELECT KEY, i, 0 AS j, lower(n) AS x FROM e_ UNION ALL SELECT KEY, i, generate_subscripts(q, 1) AS j, lower(unnest(q)) AS x FROM (SELECT KEY, i, regexp_extract_all(n, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS q FROM e_)),
+g_ AS (SELECT KEY, x, min(i * 1000 + j) AS o FROM p_ WHERE length(x) >= 2 AND regexp_matches(x, '[a-z0-9]') AND x NOT IN (STOP) GROUP BY 1, 2),
+t_ AS (SELECT KEY, x, o FROM (SELECT *, row_number() OVER (PARTITION BY KEY ORDER BY o) AS k FROM g_) WHERE k <= 24),
+q AS (SELECT KEY AS qid, CASE WHEN length(STEM) >= 4 THEN STEM ELSE x END AS root, length(STEM) >= 4 AS is_prefix, min(o) AS o FROM t_ GROUP BY 1, 2, 3)""".replace("KEY", key).replace("TEXT", text).replace("TABLE_", table).replace("STOP", STOP_SQL).replace("STEM", f"({_stem_sql('x')})")
+
+
+@query("x06_lexical_query", f"WITH {terms_sql('item_id', 'benchmark', 'text')} SELECT qid AS item_id, string_agg(root || CASE WHEN is_prefix THEN ':*' ELSE '' END, ' | ' ORDER BY o) AS query FROM q GROUP BY 1")
 def x06(t):
     return t.benchmark.select("item_id", X.lexical_query(c("text")).alias("query")).filter("query <> ''")
 
