@@ -34,6 +34,7 @@ def impact(e: DataFrame, targets: list, hops: int = 3, cap: int = 400) -> DataFr
     """Reverse closure of (src, dst, confidence): (node, depth, confidence, through). A node stays at its first depth with the
     greatest product of confidences (least through on ties). No further level once `cap` nodes are reached."""
     spark = e.sparkSession
+    e = e.repartition("dst").persist()  # each hop reads the edges where its join wants them
     level = spark.createDataFrame([(x, 0, 1.0) for x in targets], "node long, depth int, confidence double").withColumn("through", F.lit(None).cast("long"))
     reached = level
     for depth in range(1, hops + 1):

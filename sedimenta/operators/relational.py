@@ -15,10 +15,13 @@ def cochange(files: DataFrame, cap: int, least: int = 2) -> DataFrame:
     """Pairs of paths that commits of at most `cap` files touch together: (path, other, together, total, ratio). Total counts the
     path's own such commits."""
     f = files.select("sha", "path").distinct()
-    small = f.join(f.groupBy("sha").agg(F.count("*").alias("n")).filter(c("n") <= cap).select("sha"), "sha", "left_semi")
-    pairs = small.join(small.select("sha", c("path").alias("other")), "sha").filter("path <> other").groupBy("path", "other").agg(F.count("*").alias("together")).filter(c("together") >= least)
-    total = small.groupBy("path").agg(F.count("*").alias("total"))
-    return pairs.join(total, "path").withColumn("ratio", c("together") / c("total"))
+    few = f.withColumn("n", F.row_number().over(Window.partitionBy("sha").orderBy("path"))).filter(c("n") <= cap + 1)
+    small = few.groupBy("sha").agg(F.collect_list("path").alias("paths")).filter(F.size("paths") <= cap)
+    # a path with itself counts its own commits
+    pairs = small.select(F.explode("paths").alias("path"), "paths").select("path", F.explode("paths").alias("other")).groupBy("path", "other").agg(F.count("*").alias("together"))
+    own = F.max(F.when(c("path") == c("other"), c("together"))).over(Window.partitionBy("path"))
+    pairs = pairs.withColumn("total", own).filter((c("path") != c("other")) & (c("together") >= least))
+    return pairs.withColumn("ratio", c("together") / c("total"))
 
 
 @query("j03_cochange_selfjoin", f"""WITH {COMMIT_FILES_SQL}, f AS (SELECT DISTINCT sha, path FROM commit_files), s AS (SELECT * FROM f WHERE sha IN (SELECT sha FROM f GROUP BY sha HAVING count(*) <= 6)),

@@ -44,39 +44,41 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return each.select("qid", c("t.term").alias("root"), c("t.is_prefix").alias("is_prefix"))
 
 
-def postings(docs: DataFrame, id_col: str, text: Column, terms: DataFrame) -> DataFrame:
-    """(id, root, term, n): how often each document has each word that is one of terms (root, is_prefix) or begins with one.
-    Other words go before anything is grouped, so that the shuffle has matches alone."""
-    roots = terms.select("root", "is_prefix").distinct().withColumn("head", F.substring("root", 1, 4))
+def postings(docs: DataFrame, id_col: str, text: Column, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, word, n): how often each document has each word that matches one of terms (root, is_prefix); and (root, word), what
+    matches what. One scan; other words go before anything is grouped. Persisted, as a search reads them again."""
+    roots = terms.select("root", "is_prefix").distinct().withColumn("head", F.substring("root", 1, 4)).persist()
     if roots.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         roots = F.broadcast(roots)
-    words = docs.select(c(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term")).withColumn("head", F.substring("term", 1, 4))
-    hit = words.join(roots, "head").filter((c("term") == c("root")) | (c("is_prefix") & F.startswith("term", "root")))
-    return hit.groupBy("id", "root", "term").agg(F.count("*").alias("n"))
+    match = (c("w.head") == c("r.head")) & ((c("word") == c("root")) | (c("is_prefix") & F.startswith("word", "root")))
+    words = docs.select(c(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("word")).withColumn("head", F.substring("word", 1, 4))
+    post = words.alias("w").join(roots.alias("r"), match, "left_semi").groupBy("id", "word").agg(F.count("*").alias("n")).persist()
+    known = post.select("word").distinct().withColumn("head", F.substring("word", 1, 4))
+    return post, known.alias("w").join(roots.alias("r"), match).select("root", "word").persist()
 
 
-def selective(terms: DataFrame, post: DataFrame, n_docs: DataFrame, share: float = 0.25) -> DataFrame:
+def selective(terms: DataFrame, post: DataFrame, forms: DataFrame, n_docs: DataFrame, share: float = 0.25) -> DataFrame:
     """(qid, root) of question terms that at most `share` of the documents match; all of a question's if under two are left."""
-    df = post.groupBy("root").agg(F.countDistinct("id").alias("df"))
+    df = forms.join(post, "word").select("root", "id").distinct().groupBy("root").agg(F.count("*").alias("df"))
     q = terms.join(df, "root", "left").crossJoin(F.broadcast(n_docs.agg(F.count("*").alias("n"))))  # one row
     q = q.withColumn("rare", F.coalesce(c("df"), F.lit(0)) <= share * c("n"))
     few = q.groupBy("qid").agg(F.count_if("rare").alias("left"))
     return q.join(few, "qid").filter("rare or left < 2").select("qid", "root")
 
 
-def lexical(kept: DataFrame, post: DataFrame, k: int) -> DataFrame:
+def lexical(kept: DataFrame, post: DataFrame, forms: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the k documents with most places that match a question's terms (qid, root), which is the order that
     cover density gives to alternatives; a place counts once, however many terms match it; ties by id."""
-    word = kept.join(post, "root").groupBy("qid", "id", "term").agg(F.max("n").alias("n"))
-    s = word.groupBy("qid", "id").agg(F.sum("n").alias("score"))
+    words = kept.join(forms, "root").select("qid", "word").distinct()
+    s = words.join(post, "word").groupBy("qid", "id").agg(F.sum("n").alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(c("rank") <= k)
 
 
 def keyword_hits(questions: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
     """lexical() of questions (qid, question) against docs, without terms that most documents have."""
     terms = question_terms(questions)
-    post = postings(docs, id_col, text, terms)
-    return lexical(selective(terms, post, docs), post, k)
+    post, forms = postings(docs, id_col, text, terms)
+    return lexical(selective(terms, post, forms, docs), post, forms, k)
 
 
 def symbol_hits(questions: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -184,7 +186,7 @@ def r02_all(t):
 @query("r04_common_term_pruning", f"WITH {_POST} SELECT qid, root FROM kept")
 def r04(t):
     terms = question_terms(_questions(t))
-    return selective(terms, postings(t.documents, "doc_id", c("text"), terms), t.documents)
+    return selective(terms, *postings(t.documents, "doc_id", c("text"), terms), t.documents)
 
 
 @query("r03_lexical_search", f"WITH {_POST} SELECT qid, id, score, rank FROM key WHERE rank <= 20")
