@@ -98,8 +98,18 @@ class Steps:
         release(self.spark)
 
 
+#: Bytes of an Arrow batch in steps that this package writes itself; results follow the session.
+ARROW_BYTES = "8m"
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, ARROW_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
