@@ -1,9 +1,9 @@
 """Queries of the library by name, each with the SQL that says the same."""
 
-from sedimenta.operators import graph, history, incremental, relational, retrieval, store, texts, whole
+from sedimenta.operators import graph, history, incremental, neighborhood, relational, retrieval, store, texts, whole
 from sedimenta.plans.registry import QUERIES, SQL
 from sedimenta.streaming import maintain
 
-MODULES = (graph, history, incremental, relational, retrieval, store, texts, whole, maintain)
+MODULES = (graph, history, incremental, neighborhood, relational, retrieval, store, texts, whole, maintain)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
