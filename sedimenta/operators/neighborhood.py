@@ -26,13 +26,14 @@ def one_hop(e: DataFrame, is_test: DataFrame, near_ids: DataFrame, kind: str, re
 def symbol_relations(e: DataFrame, is_test: DataFrame, target: int, per_column: int = 12, kin: int = 6) -> DataFrame:
     """(side, depth, relation, node, anchor, weight, confidence, stage) round the target: callers and callees up to two hops away,
     bases and subclasses one. A node that stands in a nearer column isn't in a farther one; columns hold `per_column` or
-    `kin` nodes. e is (src, kind, dst, weight, confidence)."""
+    `kin` nodes, so each but the last is read once and goes on as rows of the driver. e is (src, kind, dst, weight, confidence)."""
     start = e.sparkSession.createDataFrame([(target,)], "node long")
     ids = lambda *frames: reduce(DataFrame.unionByName, [f.select("node") for f in frames])
-    near = [one_hop(e, is_test, start, kind, back, start, n) for kind, back, n in (("calls", True, per_column), ("inherits", True, kin), ("calls", False, per_column), ("inherits", False, kin))]
+    fixed = lambda f: e.sparkSession.createDataFrame(f.collect(), f.schema)
+    near = [fixed(one_hop(e, is_test, start, kind, back, start, n)) for kind, back, n in (("calls", True, per_column), ("inherits", True, kin), ("calls", False, per_column), ("inherits", False, kin))]
     callers, _, callees, _ = near
     shown = ids(start, *near)
-    callers2 = one_hop(e, is_test, callers, "calls", True, shown, per_column)
+    callers2 = fixed(one_hop(e, is_test, callers, "calls", True, shown, per_column))
     callees2 = one_hop(e, is_test, callees, "calls", False, ids(shown, callers2), per_column)
     names = (("in", 1, "caller"), ("in", 1, "subclass"), ("out", 1, "callee"), ("out", 1, "base"), ("in", 2, "caller"), ("out", 2, "callee"))
     out = [f.select(F.lit(side).alias("side"), F.lit(depth).alias("depth"), F.lit(name).alias("relation"), "node", "anchor", "weight", "confidence", F.lit(k).alias("stage")) for k, (f, (side, depth, name)) in enumerate(zip([*near, callers2, callees2], names))]
