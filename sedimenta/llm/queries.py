@@ -8,6 +8,8 @@ from sedimenta.llm.licenses import op10_license_scan
 from sedimenta.llm.near_dedup import OP3_SQL, op3_near_dedup
 from sedimenta.llm.packing import op8_packing
 from sedimenta.llm.quality_rules import op4_quality_rules
+from sedimenta.llm.ranked_search import OP11_SQL, op11_ranked_search
+from sedimenta.llm.resampling import OP12_SQL, op12_importance_resampling
 from sedimenta.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from sedimenta.llm.token_counts import op5_token_counts
 from sedimenta.llm.toxicity import op1_toxicity
@@ -24,7 +26,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: SQL of the queries that DuckDB can express; the others are tested against brute force, round trips or held-out rows.
-SQL = {"op3_near_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"op3_near_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_importance_resampling": OP12_SQL}
