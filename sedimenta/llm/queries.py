@@ -14,6 +14,7 @@ from sedimenta.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from sedimenta.llm.token_counts import op5_token_counts
 from sedimenta.llm.toxicity import op1_toxicity
 from sedimenta.llm.url_filter import op2_url_filter
+from sedimenta.llm.vector_dedup import OP13_SQL, op13_vector_dedup
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -28,7 +29,8 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_ranked_search": op11_ranked_search,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 
 #: SQL of the queries that DuckDB can express; the others are tested against brute force, round trips or held-out rows.
-SQL = {"op3_near_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_importance_resampling": OP12_SQL}
+SQL = {"op3_near_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_vector_dedup": OP13_SQL}
