@@ -25,6 +25,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of the rule-decided URLs (by hash) that calibrates; width and number of score bins on either side of 0.
 HELD, BIN, BINS = 5, 0.01, 500
+#: Characters of a URL that are taken apart at a time.
+PIECE = 4096
 
 
 @dataclass
@@ -54,10 +56,15 @@ def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _places(rows: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, text): each character of the column u, and its end, with the ORDER characters before it."""
+    """(*keep, text): each character of the column u, and its end, with the ORDER characters before it. A URL is cut into pieces, which
+    overlap by ORDER, and a piece into characters once, so the work is linear in the URL's length and a row holds a piece at a time."""
     padded = F.concat(F.lit("\x02" * ORDER), F.coalesce(F.col("u"), F.lit("")), F.lit("\x03"))
-    at = rows.select(*keep, padded.alias("u")).select(*keep, "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i"))
-    return at.select(*keep, F.substring("u", F.col("i") - ORDER, F.lit(ORDER + 1)).alias("text"))
+    ends = F.sequence(F.lit(1), F.length("u") - ORDER, F.lit(PIECE))
+    # the outer forms, as Spark would otherwise work the arrays out once more to drop empty ones, which don't occur
+    pieces = rows.select(*keep, padded.alias("u")).select(*keep, F.explode_outer(F.transform(ends, lambda i: F.substring(F.col("u"), i, F.lit(PIECE + ORDER)))).alias("piece"))
+    pieces = pieces.select(*keep, F.split("piece", "").alias("chars"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("chars") - ORDER), lambda i: F.array_join(F.slice("chars", i, F.lit(ORDER + 1)), ""))
+    return pieces.select(*keep, F.explode_outer(runs).alias("text"))
 
 
 def _orders(texts: DataFrame, *keep: str) -> DataFrame:

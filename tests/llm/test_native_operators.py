@@ -1,11 +1,14 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sedimenta.llm import quality_rules, url_filter
+from sedimenta.llm import common, quality_rules, url_filter
 
 RULES = url_filter.RULES
 
@@ -131,7 +134,35 @@ def test_url_filter_without_rows(spark):
     assert url_filter.judge(df, url_filter.fit(df)).count() == 0
 
 
-def test_no_python_in_the_plans(spark):
-    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    plan = quality_rules.judge(df, quality_rules.Model([0.0] * quality_rules.BUCKETS, 0.0))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|BatchEval", plan)
+def test_long_urls(spark):
+    """Places of long URLs by a plain version; a URL of 2 million characters takes seconds."""
+    r = random.Random(7)
+    urls = ["", "a", "http://x.org/" + "".join(r.choice("abc/é日😀\n") for _ in range(3 * url_filter.PIECE + 3)), "😀" * (url_filter.PIECE - 5), "b" * url_filter.PIECE]
+    df = spark.createDataFrame(list(enumerate(urls)), "row int, u string")
+    got = Counter((x["row"], x.text) for x in url_filter._places(df, "row").collect())
+    want = Counter()
+    for k, u in enumerate(urls):
+        p = "\x02" * 4 + u + "\x03"
+        want.update((k, p[i - 4 : i + 1]) for i in range(4, len(p)))
+    assert got == want
+    rows = [(1, "http://long.net/" + "".join(r.choice("abcdef/") for _ in range(2_000_000)))] + [(100 + i, f"http://s{i}.{'org/en' if i % 2 else 'com/de'}/{i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {x.page_id: x for x in url_filter.judge(df, url_filter.fit(df)).select("page_id", "host", "rule", F.length("path").alias("n")).collect()}
+    assert time.time() - began < 120
+    assert (got[1].host, got[1].rule, got[1].n, len(got)) == ("long.net", None, 2_000_001, 81)
+
+
+def test_no_python_in_the_plans(spark, monkeypatch):
+    """Neither in what the operators return nor in the steps that they run."""
+    plans = []
+    keep = lambda f: lambda self, *a, **b: plans.append(self._jdf.queryExecution().executedPlan().toString()) or f(self, *a, **b)
+    for name in ("collect", "count", "first", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, keep(getattr(DataFrame, name)))
+    monkeypatch.setattr(common, "_written", lambda df, path, f=common._written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, path))
+    docs = spark.createDataFrame([(k, f"good words {k}" if k % 2 else f"bad words {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    quality_rules.judge(docs, quality_rules.fit(docs, labels)).collect()
+    pages = spark.createDataFrame([(k, f"http://s{k}.{'org/en' if k % 2 else 'com/de'}/{k}") for k in range(60)], "page_id long, url string")
+    url_filter.judge(pages, url_filter.fit(pages)).collect()
+    assert len(plans) > 10 and not [p for p in plans if re.search("Python|Pandas|Arrow|BatchEval", p)]
