@@ -79,6 +79,11 @@ def discard(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+#: Tasks for each core that write a step at most. Spark runs the partitions of such a task one after the other, so that its memory stays
+#: that of one partition, and an iterative operator doesn't leave thousands of small files.
+TASKS = 4
+
+
 class Steps:
     """Intermediate tables of one call, in a folder of their own in the shared folder; dropped when no frame needs them."""
 
@@ -87,7 +92,7 @@ class Steps:
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         self.n += 1
-        return _written(df, f"{self.dir}/{self.n}-{tag}")
+        return _written(df.coalesce(TASKS * self.spark.sparkContext.defaultParallelism), f"{self.dir}/{self.n}-{tag}")
 
     def drop(self, *tags: str) -> None:
         """Deletes the tables kept under these tags so far, or all, and the shuffle files that led to them."""
