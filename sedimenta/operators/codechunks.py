@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.files import language
 from sedimenta.plans import codebase as cb
 from sedimenta.plans.registry import query
+from sedimenta.plans.storage import Kept
 
 c = F.col
 #: Lines of a chunk, of a gap that is worth one, of a window and of its overlap; levels of members that are looked at.
@@ -35,18 +36,22 @@ def blank(line: Column) -> Column:
     return ~line.rlike(r"\S")
 
 
-def _chosen(definitions: DataFrame) -> DataFrame:
+def _chosen(definitions: DataFrame, kept: Kept) -> DataFrame:
     """Definitions that become chunks, with first, the line of their first member, if all around them are too large: (path, kind, name, parent, start, end, first)."""
     d = definitions.select("path", "kind", "name", "parent", c("start").cast("int").alias("start"), c("end").cast("int").alias("end")).distinct()
+    d = kept.write(d, "definitions")
     first = d.filter("parent is not null").groupBy("path", c("parent").alias("name")).agg(F.min("start").alias("first"))
-    d = d.join(first, ["path", "name"], "left")
+    d = kept.write(d.join(first, ["path", "name"], "left"), "first")
     large = (c("end") - c("start") + 1 > MOST) & c("first").isNotNull()
     level, out = d.filter("parent is null"), []
     for _ in range(LEVELS):
         out.append(level)
         around = level.filter(large).select("path", c("name").alias("parent"), c("kind").alias("of")).distinct()
-        level = d.join(around, ["path", "parent"])
+        level = d.filter("parent is not null").join(around, ["path", "parent"])
         level = level.withColumn("kind", F.when((c("kind") == "function") & c("of").isin(*WITH_METHODS), "method").otherwise(c("kind"))).select(d.columns)
+        level = kept.write(level, "level")
+        if not level.limit(1).count():
+            break
     return reduce(DataFrame.unionByName, out)
 
 
@@ -54,35 +59,46 @@ def code_chunks(files: DataFrame, definitions: DataFrame) -> DataFrame:
     """Chunks of files (path, lines: an array of texts): path, kind, name, parent, start, end, truncated (the head of a larger definition), content.
 
     Lines that no chunk of a definition covers are module chunks, in windows, if LEAST_GAP of them are left without the blank ones at either
-    end; a file without definitions is module code whatever its length. Empty files have no chunks. Definitions of files that aren't there don't matter."""
-    d = _chosen(definitions)
+    end; a file without definitions is module code whatever its length. Empty files have no chunks. Definitions of files that aren't there don't matter.
+    A file's places are gathered first, and its lines are joined with them once and never broadcast."""
+    kept = Kept(definitions.sparkSession, "chunks")
+    d = _chosen(definitions, kept)
     size, has = c("end") - c("start") + 1, c("first").isNotNull()
     head = F.least(F.greatest(c("start"), c("first") - 1), c("start") + MOST - 1).cast("int")
     whole = F.array(F.struct("start", "end", F.lit(False).alias("truncated")))
     cut = F.transform(windows(c("start"), c("end")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(False).alias("truncated")))
     parts = F.when(size <= MOST, whole).when(has, F.array(F.struct(c("start"), head.alias("end"), F.lit(True).alias("truncated")))).otherwise(cut)
-    own = d.select("path", "kind", "name", "parent", F.when((size > MOST) & has, head).otherwise(c("end")).alias("to"), c("start").alias("from"), F.explode_outer(parts).alias("p"))
-    own = own.select("path", "kind", "name", "parent", "p.*", "from", "to")
-
-    # gaps: after the greatest end so far, within a file, whose definitions are few
-    n = files.filter(F.size("lines") > 0).select("path", F.size("lines").alias("n"))
-    spans = own.select("path", c("from").alias("s"), c("to").alias("e")).distinct().join(n, "path")
-    ends = n.select("path", (c("n") + 1).alias("s"), (c("n") + 1).alias("e"), "n")
-    w = Window.partitionBy("path").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = spans.unionByName(ends).withColumn("after", F.coalesce(F.max("e").over(w), F.lit(0))).filter("s > after + 1").select("path", (c("after") + 1).alias("a"), (c("s") - 1).alias("b"))
-    covered = spans.select("path").distinct().withColumn("some", F.lit(True))
-    gaps = gaps.join(files.select("path", "lines"), "path").join(covered, "path", "left")
-    text = F.transform(F.sequence("a", "b"), lambda i: F.when(~blank(F.get("lines", i - 1)), i))
-    gaps = gaps.select("path", "some", F.array_min(text).alias("a"), F.array_max(text).alias("b"))
-    gaps = gaps.filter((c("b") - c("a") + 1 >= LEAST_GAP) | (c("some").isNull() & c("a").isNotNull()))
+    own = d.select("path", "kind", "name", "parent", F.when((size > MOST) & has, head).otherwise(c("end")).alias("to"), c("start").alias("from"), parts.alias("parts"))
+
+    # gaps: after the greatest end so far, within a file, whose definitions are few; the last one, up to the file's end, follows with its lines
+    w = Window.partitionBy("path").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("after", F.coalesce(F.max("to").over(w), F.lit(0)))
+    gap = F.when(c("from") > c("after") + 1, F.struct((c("after") + 1).alias("a"), (c("from") - 1).alias("b")))
+    chunk = F.transform("parts", lambda p: F.struct("kind", "name", "parent", p["start"].alias("start"), p["end"].alias("end"), p["truncated"].alias("truncated")))
+    own = own.groupBy("path").agg(F.flatten(F.collect_list(chunk)).alias("own"), F.collect_list(gap).alias("gaps"), F.max("to").alias("last"))
+    own = kept.write(own, "result")
+    kept.drop(but="result")
+
+    # a hint, as the size that Spark expects of an array doesn't depend on its length
+    f = files.filter(F.size("lines") > 0).select("path", "lines").hint("merge").join(own, "path", "left")
+    rest = F.struct((F.coalesce("last", F.lit(0)) + 1).alias("a"), F.size("lines").alias("b"))
+    spans = F.filter(F.concat(F.coalesce("gaps", F.array().cast("array<struct<a:int,b:int>>")), F.array(rest)), lambda g: g["a"] <= F.least(g["b"], F.size("lines")))
+
+    def trimmed(g):
+        """The gap without blank lines at either end; nulls if all are blank."""
+        text = F.transform(F.sequence(g["a"], F.least(g["b"], F.size("lines"))), lambda i: F.when(~blank(F.get("lines", i - 1)), i))
+        return F.struct(F.array_min(text).alias("a"), F.array_max(text).alias("b"))
+
+    worth = lambda g: (g["b"] - g["a"] + 1 >= LEAST_GAP) | (c("own").isNull() & g["a"].isNotNull())
     none = F.lit(None).cast("string")
-    gaps = gaps.select("path", F.lit("module").alias("kind"), none.alias("name"), none.alias("parent"), F.explode_outer(windows(c("a"), c("b"))).alias("p"))
-    gaps = gaps.select("path", "kind", "name", "parent", "p.*", F.lit(False).alias("truncated"))
-
-    every = own.select("path", "kind", "name", "parent", "start", "end", "truncated").unionByName(gaps).join(files.select("path", "lines"), "path")
-    lines = F.slice("lines", c("start"), F.greatest(c("end") - c("start") + 1, F.lit(0)))
+    module = lambda p: F.struct(F.lit("module").alias("kind"), none.alias("name"), none.alias("parent"), p["start"].alias("start"), p["end"].alias("end"), F.lit(False).alias("truncated"))
+    f = f.select("path", "lines", "own", F.transform(spans, trimmed).alias("gaps"))
+    module = F.transform(F.flatten(F.transform(F.filter("gaps", worth), lambda g: windows(g["a"], g["b"]))), module)
+    f = f.select("path", "lines", F.when(c("own").isNull(), module).otherwise(F.concat("own", module)).alias("chunks"))
+    content = lambda p: F.array_join(F.slice("lines", p["start"], F.greatest(p["end"] - p["start"] + 1, F.lit(0))), "\n")
+    every = f.select("path", F.explode(F.transform("chunks", lambda p: p.withField("content", content(p)))).alias("p")).select("path", "p.*")
     # windows of blank lines alone are left out, whole definitions never are
-    return every.filter(F.exists(lines, lambda x: ~blank(x))).select("path", "kind", "name", "parent", "start", "end", "truncated", F.array_join(lines, "\n").alias("content"))
+    return every.filter(~blank(c("content")))
 
 
 def split_lines(text: Column) -> Column:

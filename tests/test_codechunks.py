@@ -50,3 +50,13 @@ def test_every_file_goes_its_way(spark):
     sections = lambda d: d.select("path", F.lit("S").alias("name"), F.lit(1).alias("start"), F.lit(1).alias("end"), "content")
     got = C.chunk_files(files, spark.createDataFrame([], DEF), sections).collect()
     assert sorted((r.path, r.source_type, r.kind, r.start, r.end) for r in got) == [("a.py", "code", "module", 1, 1), ("b.md", "doc", "section", 1, 1), ("c.dat", "code", "window", 1, 60), ("c.dat", "code", "window", 51, 70), ("d.txt", "doc", "section", 1, 1)]
+
+
+def test_lines_are_joined_once_and_never_broadcast(spark):
+    """A file's lines may be of any length, which Spark's estimate of an array's size doesn't know."""
+    files = spark.createDataFrame([("a.py", ["x", "y"]), ("b.py", ["", "z"])], "path string, lines array<string>")
+    df = C.code_chunks(files, spark.createDataFrame([("a.py", "function", "f", None, 1, 2)], DEF))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    physical = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("lines#") and physical.count("Join") == 1 and "Broadcast" not in physical
+    assert sorted((r.path, r.kind, r.start, r.end) for r in df.collect()) == [("a.py", "function", 1, 2), ("b.py", "module", 2, 2)]
