@@ -229,3 +229,40 @@ def test_unrelated_files_stay(spark):
     assert [r.path for r in again.collect()] == ["pkg/utils.py"]
     assert edges_of(after) == edges_of(graph) | {("pkg/utils.py", "defines", "pkg/utils.py::private_thing"): (1, 1.0, None, ())}
     kept.drop()
+
+
+GO_FILES, GO_IMPORT = ["svc/a/x.go", "svc/a/y.go", "svc/a/x_test.go", "main.go"], ("main.go", "go", "ex.org/svc/a", [], {}, None, 0)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_path_alias_asks_three_keys_for_each_root(spark):
+    """Not one for each ending."""
+    asked = M.asked_paths(imports_of(spark, [("a/b/c.tsx", "tsx", "@/x.js", [], {}, None, 0)]))
+    assert asked.count() == 3 * 2 * 3
+    paths = ["a/src/x.ts", "a/src/x.jsx", "x/index.d.ts", "src/x.js"]
+    assert resolved(spark, paths, [("a/b/c.tsx", "tsx", m, [], {}, None, 0) for m in ("@/x", "@/x.js", "../../x", "../../src/x.js", "../../x/index")]) == [([f], {}, None) for f in ("a/src/x.ts", "a/src/x.ts", "x/index.d.ts", "src/x.js", "x/index.d.ts")]
+
+
+def test_files_of_go_folders_take_no_part_in_packages(spark):
+    imports = imports_of(spark, [GO_IMPORT, ("main.go", "go", "github.com/x/y", [], {}, None, 0)])
+    r = M.resolve_modules(files_of(spark, GO_FILES), imports, spark.createDataFrame([("svc", "ex.org/svc")], "dir string, module string"))
+    assert "_test.go" not in optimized(r.externals) and [x.package for x in r.externals.collect()] == ["github.com/x/y"]
+
+
+def test_go_scopes_and_edges_are_made_for_folders(spark):
+    """Distinct before the files of a folder come in; the edges to them aren't stored."""
+    imports = imports_of(spark, [GO_IMPORT, GO_IMPORT])
+    modules = spark.createDataFrame([("svc", "ex.org/svc")], "dir string, module string")
+    b = M.bind(imports, M.resolve_modules(files_of(spark, GO_FILES), imports, modules))
+    assert optimized(b.modules).startswith("Union")
+    assert sorted(map(tuple, b.modules.collect())) == [("main.go", "a", "svc/a/x.go"), ("main.go", "a", "svc/a/y.go")]
+    none = lambda schema: spark.createDataFrame([], schema)
+    kept = Kept(spark, "graph")
+    facts = G.Facts(files_of(spark, GO_FILES), none(SYMBOL), imports, none("path string, line int, name string, receiver string"), none("path string, class_line int, name string, line int"), modules, none("path string, seq int, ecosystem string, name string"))
+    edges = G.build(facts, kept).edges
+    assert "Join" in optimized(edges)
+    assert sorted((e.src, e.kind, e.dst, e.weight, e.lines) for e in edges.collect()) == [("main.go", "imports", f"svc/a/{f}.go", 2.0, [1, 2]) for f in "xy"]
+    kept.drop()
