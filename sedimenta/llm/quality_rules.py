@@ -17,8 +17,10 @@ from sedimenta.llm.common import table, text_of
 from sedimenta.llm.native import constants, let, words
 
 BUCKETS, SMOOTHING = 8192, 1.0
-#: Trusted labelled documents at most (least hashes first), and the share of them that may score below the threshold.
-TRUSTED, QUANTILE = 10_000, 0.005
+#: Share of the trusted documents that may score below the threshold.
+QUANTILE = 0.005
+#: Ids of trusted documents that are broadcast at most, so that texts needn't be shuffled; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 WINDOW = 8
 
 
@@ -83,20 +85,27 @@ def _counts(df: DataFrame) -> dict[int, int]:
     return {r.b: r["n"] for r in g.groupBy("b").agg(F.count("*").alias("n")).collect()}
 
 
+def _low_quantile(scores: DataFrame, n: int) -> float:
+    """The QUANTILE of n scores (s), between neighbours in proportion, as percentile() has it; only the scores below it leave their tasks."""
+    at = QUANTILE * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    v = [x.s for x in scores.orderBy("s").limit(high + 1).orderBy(F.desc("s")).limit(high - low + 1).collect()]
+    return v[0] if low == high else (high - at) * v[1] + (at - low) * v[0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Ratios from at most TRUSTED documents labelled 1 and from all documents. Without trusted documents all ratios are 0."""
+    """Ratios and threshold from all documents labelled 1, and from all documents. Without trusted documents all ratios are 0."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     want = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("q")).filter("q = 1")
-    want = want.select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(TRUSTED)
-    trusted = src.join(F.broadcast(want), "id", "left_semi")
+    want = want.select(F.col("doc_id").alias("id"))
+    trusted = src.join(F.broadcast(want) if want.count() <= BROADCAST_IDS else want, "id", "left_semi")
     t, r = _counts(trusted), _counts(src)
     if not t:
         return Model([0.0] * BUCKETS, 0.0)
     nt, nr = sum(t.values()) + SMOOTHING * BUCKETS, sum(r.values()) + SMOOTHING * BUCKETS
     ratios = [math.log((t.get(b, 0) + SMOOTHING) / nt) - math.log((r.get(b, 0) + SMOOTHING) / nr) for b in range(BUCKETS)]
     own = trusted.select(let(_hashes(F.col("text")), lambda h: _mean_ratio(h, ratios)).alias("s"))
-    low = own.agg(F.percentile("s", F.lit(QUANTILE))).first()[0]
-    return Model(ratios, float(low))
+    return Model(ratios, float(_low_quantile(own, trusted.count())))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,3 +50,14 @@ def test_mean_ratio_and_verdict(spark):
     for row in Q.judge(d, model).collect():
         assert row.mean_ratio == pytest.approx(mean[row.doc_id], abs=1e-4)
         assert row.kept == (not row.base_failed and row.mean_ratio >= model.threshold)
+
+
+def test_all_trusted_documents_count(spark):
+    """More than 10,000 of them; the quantile is percentile()'s."""
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('a b w', id) AS text")
+    model = Q.fit(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert max(map(abs, model.ratios)) < 1e-12
+    scores = spark.range(1501).selectExpr("(id * 7919 % 1501) * 0.37D AS s")
+    for n in (1, 2, 201, 777, 1501):
+        some = scores.orderBy("s").limit(n)
+        assert Q._low_quantile(some, n) == some.selectExpr(f"percentile(s, {Q.QUANTILE})").first()[0]
