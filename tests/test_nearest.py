@@ -26,3 +26,10 @@ def test_every_question_has_its_neighbours(spark):
 def test_all_questions_of_the_table_take_part(spark):
     got = catalog.QUERIES["r02_vector_knn_all"](spark, "/root/testdata/sf0.001").groupBy("qid").count().collect()
     assert {(x.qid, x["count"]) for x in got} == {(i, 50) for i in range(0, 500, 50)}
+
+
+def test_a_pair_takes_one_product(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<float>").localCheckpoint()
+    q = spark.createDataFrame([(0, [1.0, 2.0])], "qid long, q array<double>").localCheckpoint()
+    plan = nearest_each(q, df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("aggregate(") for line in plan.splitlines() if "explode(" in line] == [1]
