@@ -11,7 +11,7 @@ name; bindings as in operators.modules.Bindings.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,10 +60,6 @@ class Index:
         own = [short(c("name")).alias("short"), short(c("parent")).alias("parent_short"), F.concat("path", F.lit("::"), "name").alias("key")]
         self.symbols = self.kept.write(symbols.select("path", "language", "name", "kind", "parent", "start", "end", *own), "symbols")
         s = self.symbols
-        # by file and last name: definitions at the top if there are any, else members
-        top = s.groupBy("path", "short").agg(F.sort_array(F.collect_list(F.when(c("parent").isNull(), c("key")))).alias("tops"), F.sort_array(F.collect_list("key")).alias("all"))
-        top = top.select(c("path").alias("at"), c("short").alias("want"), "tops", F.when(F.size("tops") > 0, c("tops")).otherwise(c("all")).alias("keys"))
-        self.visible = self.kept.write(top, "visible")
         lone = s.filter(c("parent").isNull() & c("kind").isin(TARGET_KINDS)).groupBy("short").agg(F.count("*").alias("n"), F.min("key").alias("key"))
         self.unique = lone.filter((c("n") == 1) & (F.length("short") >= 4) & ~c("short").isin(GENERIC_NAMES)).select(c("short").alias("want"), F.array("key").alias("keys"))
         methods = s.filter("parent is not null")
@@ -74,6 +70,18 @@ class Index:
         self.members_anywhere = _first_two(methods, ["parent_short", "short"]).select("parent_short", c("short").alias("want"), "keys")
         self.typed = _first_two(typed, ["type", "short"]).select("type", c("short").alias("want"), "keys")
 
+    @cached_property
+    def defined(self) -> DataFrame:
+        """The names that a file defines (at, want)."""
+        return self.kept.write(self.symbols.select(c("path").alias("at"), c("short").alias("want")).distinct(), "defined")
+
+    @cached_property
+    def visible(self) -> DataFrame:
+        """By file and last name: definitions at the top if there are any, else members."""
+        top = self.symbols.groupBy("path", "short").agg(F.sort_array(F.collect_list(F.when(c("parent").isNull(), c("key")))).alias("tops"), F.sort_array(F.collect_list("key")).alias("all"))
+        top = top.select(c("path").alias("at"), c("short").alias("want"), "tops", F.when(F.size("tops") > 0, c("tops")).otherwise(c("all")).alias("keys"))
+        return self.kept.write(top, "visible")
+
     def close(self, result: DataFrame) -> DataFrame:
         """The result, stored; the steps go."""
         result = self.kept.write(result, "result")
@@ -88,36 +96,48 @@ def passed_on(bindings: Bindings, index: Index, hops: int | None = None) -> Data
 
     A name's alternatives are tried in order. One that leads to a name without a definition, or lies on a circle, is dropped, and
     the next one is tried. `hops` bounds the links of a chain; None follows all. A file's own definitions come before its imports.
-    Names that a file gets by importing another whole aren't followed here (lookup() does)."""
-    kept = Kept(index.symbols.sparkSession, "names")
-    defined = index.visible.select("at", "want")
+    Names that a file gets by importing another whole aren't followed here (lookup() does).
+
+    A pointer is stored again only when it has moved, and a round's steps go with the round."""
+    kept, defined = Kept(index.symbols.sparkSession, "names"), index.defined
     order = F.struct(c("seq"), c("target"), c("orig"))
-    links = bindings.names.select(c("path").alias("at"), c("local").alias("want"), order.alias("pick"), c("target").alias("file"), c("orig").alias("name"))
+    links = bindings.names.select(c("path").alias("at"), c("local").alias("want"), order.alias("pick"))
     links = kept.write(links.join(defined, ["at", "want"], "left_anti").distinct(), "links")
     while True:
-        first = links.groupBy("at", "want").agg(F.min("pick").alias("pick"), (F.countDistinct("file", "name") > 1).alias("branch"))
-        first = kept.write(first.select("at", "want", c("pick.target").alias("file"), c("pick.orig").alias("name"), "branch"), "first")
+        to = F.struct(c("pick.target"), c("pick.orig"))
+        first = links.groupBy("at", "want").agg(F.min("pick").alias("pick"), (F.min(to) != F.max(to)).alias("branch"))
+        first = first.select("at", "want", c("pick.target").alias("file"), c("pick.orig").alias("name"), "branch")
+        first = kept.write(first, "first")
         ends = defined.select(c("at").alias("file"), c("want").alias("name"), F.lit(True).alias("end"))
         heads = first.select(c("at").alias("file"), c("want").alias("name"), F.lit(True).alias("head"))
         state = F.when(c("end"), "done").when(c("head"), "open").otherwise("dead")
         at = first.join(ends, ["file", "name"], "left").join(heads, ["file", "name"], "left")
         at = kept.write(at.select("at", "want", "file", "name", F.lit(1).cast("long").alias("hops"), "branch", state.alias("state")), "pointers")
-        span, opened = 1, at.filter("state = 'open'").count()
-        while span <= opened and at.filter("state = 'open'").limit(1).count():
-            on = at.select(c("at").alias("file"), c("want").alias("name"), *[c(x).alias(f"{x}_") for x in ("file", "name", "hops", "branch", "state")])
-            moved = at.filter("state = 'open'").join(on, ["file", "name"])
+        settled, open_ = at.filter("state <> 'open'"), at.filter("state = 'open'")
+        count = F.struct(F.count("*").alias("n"), F.countDistinct("file", "name").alias("ends"))
+        before, now = None, open_.select(count.alias("x")).first().x
+        # when neither pointers nor their ends get fewer, all that is open has come to a circle, and the ends are all of its names
+        while now.n and now != before:
+            on = settled.unionByName(open_).select(c("at").alias("file"), c("want").alias("name"), *[c(x).alias(f"{x}_") for x in ("file", "name", "hops", "branch", "state")])
+            moved = open_.join(on, ["file", "name"])
             moved = moved.select("at", "want", c("file_").alias("file"), c("name_").alias("name"), (c("hops") + c("hops_")).alias("hops"), (c("branch") | c("branch_")).alias("branch"), c("state_").alias("state"))
-            at, span = kept.write(at.filter("state <> 'open'").unionByName(moved), "pointers"), span * 2
-        # pointers still open span more links than there were open names: they have come to a circle, and their ends are all of its names
-        circle = at.filter("state = 'open'").select(c("file").alias("at"), c("name").alias("want")).distinct()
-        dead = at.filter("state = 'dead' and not branch").select(c("at").alias("file"), c("want").alias("name"))
+            moved = kept.write(moved, "pointers")
+            settled, open_ = settled.unionByName(moved.filter("state <> 'open'")), moved.filter("state = 'open'")
+            before, now = now, open_.select(count.alias("x")).first().x
+        # only pointers through a name with alternatives can be saved by another round
+        if not settled.filter("state = 'dead'").unionByName(open_).filter("branch").limit(1).count():
+            break
+        circle = open_.select(c("file").alias("at"), c("name").alias("want")).distinct()
+        dead = settled.filter("state = 'dead' and not branch").select(c("at").alias("file"), c("want").alias("name"))
         none = first.join(ends, ["file", "name"], "left_anti").join(heads, ["file", "name"], "left_anti").select("file", "name").distinct()
         lost = first.join(circle, ["at", "want"], "left_semi").unionByName(first.join(dead.unionByName(none), ["file", "name"], "left_semi").select(first.columns))
         lost = kept.write(lost.select("at", "want", "file", "name").distinct(), "lost")
         if not lost.limit(1).count():
             break
-        links = kept.write(links.join(lost, ["at", "want", "file", "name"], "left_anti"), "links")
-    out = at.filter("state = 'done'").select("at", "want", "file", "name", "hops")
+        left = links.join(lost, (links["at"] == lost["at"]) & (links["want"] == lost["want"]) & (links["pick.target"] == lost["file"]) & (links["pick.orig"] == lost["name"]), "left_anti")
+        links = kept.write(left, f"links{kept.n}")
+        kept.drop(but=f"links{kept.n - 1}")
+    out = settled.filter("state = 'done'").select("at", "want", "file", "name", "hops")
     out = kept.write(out.filter(c("hops") <= hops) if hops is not None else out, "result")
     kept.drop(but="result")
     return out
