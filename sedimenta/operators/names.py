@@ -2,8 +2,9 @@
 
 A name passes a cascade of lookups; the surest that finds something counts, by a least-of aggregate that Spark begins before the shuffle.
 Each lookup is one equi-join with an index that has few rows for a key: definitions by file and name, definitions that are the only ones
-of their name, the first two methods of a name and class. No lookup lists all definitions of a common name. Uses are made distinct by file, name and
-class first, and steps are stored, so plans stay short.
+of their name, the first two methods of a name and class. Uses are made distinct by file, name and class first, and steps are stored, so plans
+stay short. A name of the same package may mean many definitions, which grow with the code base, as its uses do: such an answer stays the name of
+its folder through all steps, and the definitions come in with the last join, whose rows aren't stored.
 
 Frames: symbols (path, language, name, kind, parent, start, end), a name being qualified ("Queue.put") and one row for each path and
 name; bindings as in operators.modules.Bindings.
@@ -82,11 +83,23 @@ class Index:
         top = top.select(c("path").alias("at"), c("short").alias("want"), "tops", F.when(F.size("tops") > 0, c("tops")).otherwise(c("all")).alias("keys"))
         return self.kept.write(top, "visible")
 
-    def close(self, result: DataFrame) -> DataFrame:
-        """The result, stored; the steps go."""
-        result = self.kept.write(result, "result")
+    @cached_property
+    def folders(self) -> DataFrame:
+        """By folder and last name: definitions at the top of a file."""
+        top = self.symbols.filter("parent is null").groupBy(dirname(c("path")).alias("folder"), c("short").alias("want"))
+        return self.kept.write(top.agg(F.sort_array(F.collect_list("key")).alias("keys")), "folders")
+
+    def folder_classes(self, most: int) -> DataFrame:
+        """By folder and last name: the first classes at the top of a file, n being their place (folder, want, n, key, at)."""
+        top = self.symbols.filter(c("parent").isNull() & c("kind").isin(CLASS_KINDS)).select(dirname(c("path")).alias("folder"), c("short").alias("want"), "key", c("path").alias("at"))
+        w = Window.partitionBy("folder", "want").orderBy("key")
+        return top.withColumn("n", F.row_number().over(w) - 1).filter(c("n") < most)
+
+    def close(self, *results: DataFrame):
+        """The result or results, stored; the steps go."""
+        results = [self.kept.write(df, "result") for df in results]
         self.kept.drop(but="result")
-        return result
+        return results if len(results) > 1 else results[0]
 
 
 
@@ -146,31 +159,33 @@ def passed_on(bindings: Bindings, index: Index, hops: int | None = None) -> Data
 def lookup(index: Index, bindings: Bindings, asks: DataFrame, hops: int = HOPS - 1) -> DataFrame:
     """(at, want, keys): what a name asked of a file means there. The file's definitions, at its top if there are any; else what the first
     of its imports of that name leads to, then of the files that it imports whole, through at most `hops` further files."""
-    levels, defined = [index.kept.write(asks.select("at", "want").distinct(), "asks")], index.visible.select("at", "want", "keys")
+    defined, level = index.visible.select("at", "want", "keys"), asks.select("at", "want").distinct()
     names = bindings.names.select(c("path").alias("at"), c("local").alias("want"), F.struct(F.lit(0).alias("w"), c("seq").cast("string").alias("s")).alias("pick"), c("target").alias("to"), c("orig").alias("ask"))
     whole = bindings.wildcards.select(c("path").alias("at"), c("target").alias("to"))
-    steps = []
+    levels, steps = [], []
     for _ in range(hops):
-        open_ = levels[-1].join(defined, ["at", "want"], "left_anti")
+        levels.append(index.kept.write(level.join(defined, ["at", "want"], "left"), "asks"))
+        open_ = levels[-1].filter("keys is null").select("at", "want")
         step = open_.join(names, ["at", "want"]).unionByName(open_.join(whole, "at").select("at", "want", F.struct(F.lit(1).alias("w"), c("to").alias("s")).alias("pick"), "to", c("want").alias("ask")))
         step = index.kept.write(step, "steps")
         steps.append(step)
-        levels.append(step.select(c("to").alias("at"), c("ask").alias("want")).distinct())
-    found = levels[-1].join(defined, ["at", "want"])
-    for level, step in zip(levels[-2::-1], steps[::-1], strict=True):
+        level = step.select(c("to").alias("at"), c("ask").alias("want")).distinct()
+    found = level.join(defined, ["at", "want"])
+    for level, step in zip(levels[::-1], steps[::-1], strict=True):
         best = step.join(found.select(c("at").alias("to"), c("want").alias("ask"), "keys"), ["to", "ask"]).groupBy("at", "want").agg(F.min_by("keys", F.struct("pick", "to", "ask")).alias("keys"))
-        found = level.join(defined, ["at", "want"]).select("at", "want", "keys").unionByName(best)
+        found = level.filter("keys is not null").unionByName(best)
     return index.kept.write(found, "looked")
 
 
 class Ways:
-    """What several lookups find for sites, told apart by the columns `key`; best() has what the first of them finds."""
+    """What several lookups find for sites, told apart by the columns `key`; best() has what the first of them finds: keys, or a folder that has them."""
 
     def __init__(self, key: list[str]):
         self.key, self.found = key, []
 
     def add(self, hits: DataFrame, confidence: float, via: str) -> None:
-        answer = F.struct("keys", F.lit(confidence).alias("confidence"), F.lit(via).alias("via"))
+        none = lambda name, kind: c(name) if name in hits.columns else F.lit(None).cast(kind).alias(name)
+        answer = F.struct(none("keys", "array<string>"), none("folder", "string"), F.lit(confidence).alias("confidence"), F.lit(via).alias("via"))
         self.found.append(hits.select(*self.key, F.lit(len(self.found)).alias("way"), answer.alias("answer")))
 
     def best(self) -> DataFrame:
@@ -178,12 +193,23 @@ class Ways:
         return every.groupBy(*self.key).agg(F.min_by("answer", "way").alias("a")).select(*self.key, "a.*")
 
 
+def spread(rows: DataFrame, folders: DataFrame, want: str = "want") -> DataFrame:
+    """Rows (want, keys, folder, ...) with the keys of their folder where they name one. Folders aren't broadcast, as they grow with the code base."""
+    near = rows.filter("folder is not null").drop("keys").join(folders.withColumnRenamed("want", want).hint("merge"), ["folder", want])
+    return rows.filter("folder is null").drop("folder").unionByName(near.drop("folder"))
+
+
 def resolve_names(index: Index, bindings: Bindings, sites: DataFrame) -> DataFrame:
     """(path, want, parent, keys, confidence, via) of bare names used in a file: sites (path, language, want, parent), one row each, parent being the
     class around the use or null.
 
     In turn: what the file imports by that name; a member of the same class (not in Python); the file's own definition; what a file
     imported whole has; a definition of the same folder, in languages that see those; the only definition of that name anywhere."""
+    return spread(meanings(index, bindings, sites), index.folders)
+
+
+def meanings(index: Index, bindings: Bindings, sites: DataFrame) -> DataFrame:
+    """resolve_names(), stored before definitions of the same folder come in: those rows have a folder and no keys."""
     key = ["path", "want", "parent"]
     ways, sites = Ways(key), index.kept.write(sites, "sites")
     named = bindings.names.select("path", c("local").alias("want"), "seq", "target", F.when(c("orig") == "default", c("local")).otherwise(c("orig")).alias("ask"))
@@ -196,9 +222,8 @@ def resolve_names(index: Index, bindings: Bindings, sites: DataFrame) -> DataFra
     ways.add(sites.filter("language <> 'python' and parent is not null").join(local, key), 0.95, "same class")
     ways.add(sites.join(index.visible.filter("size(tops) > 0").select(c("at").alias("path"), "want", c("tops").alias("keys")), ["path", "want"]), 0.95, "same file")
     ways.add(whole.join(looked.withColumnRenamed("at", "target"), ["target", "want"]).groupBy(*key).agg(F.min_by("keys", "target").alias("keys")), 0.85, "wildcard import")
-    folder = index.symbols.filter("parent is null").groupBy(dirname(c("path")).alias("folder"), c("short").alias("want")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     near = sites.filter(c("language").isin(SAME_PACKAGE)).withColumn("folder", dirname(c("path")))
-    ways.add(near.join(folder, ["folder", "want"]), 0.85, "same package")
+    ways.add(near.join(index.folders.select("folder", "want"), ["folder", "want"], "left_semi"), 0.85, "same package")
     ways.add(sites.join(index.unique, "want"), 0.5, "unique name")
     return index.kept.write(ways.best(), "meant")
 
@@ -218,9 +243,12 @@ def inheritance(index: Index, bindings: Bindings, bases: DataFrame) -> DataFrame
     own = enclosing(index.symbols, bases, "class_line", CLASS_KINDS).filter("owner is not null")
     language = index.symbols.select("path", "language").distinct()
     sites = own.select("path", c("name").alias("want")).distinct().join(language, "path").withColumn("parent", F.lit(None).cast("string"))
-    meant = resolve_names(index, bindings, sites).select("path", c("want").alias("name"), F.posexplode("keys").alias("at", "base"), "confidence", "via")
+    meant = meanings(index, bindings, sites)
     classes = index.symbols.filter(c("kind").isin(CLASS_KINDS)).select(c("key").alias("base"))
-    hits = own.join(meant.join(classes, "base", "left_semi"), ["path", "name"]).filter("base <> owner")
+    told = meant.select("path", c("want").alias("name"), F.posexplode("keys").alias("at", "base"), "confidence", "via").join(classes, "base", "left_semi")
+    # of a folder's classes two are enough, as one of them at most is the class itself
+    near = meant.join(index.folder_classes(2), ["folder", "want"]).select(c("key").alias("base"), "path", c("want").alias("name"), c("n").alias("at"), "confidence", "via")
+    hits = own.join(told.unionByName(near), ["path", "name"]).filter("base <> owner")
     best = hits.groupBy(c("owner").alias("cls"), "line", c("name").alias("named")).agg(F.min_by(F.struct("base", "confidence", "via"), "at").alias("b"))
     return index.kept.write(best.select("cls", "b.base", "line", "b.confidence", "b.via"), "inherits")
 
@@ -247,8 +275,20 @@ def resolve_calls(index: Index, bindings: Bindings, calls: DataFrame, inherits:
     """(path, line, name, receiver, owner, target, confidence, via): what calls (path, line, name, receiver) reach; owner is the definition around
     the call, null at the top of a file. Calls of names that nothing here has, and of a definition by itself, are left out.
 
-    A bare name goes through resolve_names(). With a receiver: a member of one's own class, or of its nearest ancestor; what a module of that
+    A bare name goes through the ladder of resolve_names(). With a receiver: a member of one's own class, or of its nearest ancestor; what a module of that
     local name has; a member of a class of that name; of the class that the receiver is named after; the only method of that name."""
+    return targets(reached(index, bindings, calls, inherits), index.folders)
+
+
+def targets(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """A row for each definition that reached() found, folders spread."""
+    hit = spread(rows, folders, "name").select("path", "line", "name", "receiver", "owner", F.explode("keys").alias("target"), "confidence", "via")
+    return hit.filter(c("owner").isNull() | (c("owner") != c("target")))
+
+
+def reached(index: Index, bindings: Bindings, calls: DataFrame, inherits: DataFrame) -> DataFrame:
+    """resolve_calls() before a call's definitions become rows: (path, line, name, receiver, owner, keys, folder, confidence, via), the definitions
+    of a folder not listed."""
     language = index.symbols.select("path", "language").distinct()
     known = index.symbols.select(c("short").alias("name")).distinct()
     at = enclosing(index.symbols, calls.join(known, "name", "left_semi").distinct(), "line")
@@ -269,9 +309,9 @@ def resolve_calls(index: Index, bindings: Bindings, calls: DataFrame, inherits:
     capital = rest.filter(F.substring("last", 1, 1).rlike(r"^\p{Lu}"))
 
     bare = sites.filter("receiver is null").select("path", "language", "want", "parent")
-    meant = resolve_names(index, bindings, bare.unionByName(capital.select("path", "language", c("last").alias("want"), "parent")).distinct())
-    answer = meant.select(c("path").alias("p"), c("want").alias("w"), c("parent").alias("o"), "keys", "confidence", "via")
-    plain = sites.filter("receiver is null").join(answer, (c("path") == c("p")) & (c("want") == c("w")) & c("parent").eqNullSafe(c("o"))).select(*key, "keys", "confidence", "via")
+    meant = meanings(index, bindings, bare.unionByName(capital.select("path", "language", c("last").alias("want"), "parent")).distinct())
+    answer = meant.select(c("path").alias("p"), c("want").alias("w"), c("parent").alias("o"), "keys", "folder", "confidence", "via")
+    plain = sites.filter("receiver is null").join(answer, (c("path") == c("p")) & (c("want") == c("w")) & c("parent").eqNullSafe(c("o"))).select(*key, "keys", "folder", "confidence", "via")
 
     members = index.symbols.filter("parent is not null").groupBy("path", c("parent").alias("cls"), c("short").alias("want")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     ways.add(own.filter("receiver <> 'super'").join(members, ["path", "cls", "want"]), 1.0, "self")
@@ -288,6 +328,9 @@ def resolve_calls(index: Index, bindings: Bindings, calls: DataFrame, inherits:
 
     classes = index.symbols.filter(c("kind").isin(CLASS_KINDS)).select("key", c("path").alias("at"), c("short").alias("of"))
     told = answer.select("p", c("w").alias("l"), "o", F.posexplode("keys").alias("n", "key")).join(classes, "key")
+    # of a folder's classes of one name the first decides: it has the method itself, or any class of that name has it
+    near = answer.join(index.folder_classes(1).withColumnRenamed("want", "w"), ["folder", "w"]).select("p", c("w").alias("l"), "o", "n", "at", c("w").alias("of"))
+    told = told.select("p", "l", "o", "n", "at", "of").unionByName(near)
     told = capital.join(told, (c("path") == c("p")) & (c("last") == c("l")) & c("parent").eqNullSafe(c("o"))).select(*key, "n", "at", "of")
     here = capital.join(classes.select(c("at").alias("path"), c("of").alias("last")).distinct(), ["path", "last"])
     both = index.kept.write(told.unionByName(here.select(*key, F.lit(1_000_000).alias("n"), c("path").alias("at"), c("last").alias("of"))), "classes")
@@ -297,10 +340,9 @@ def resolve_calls(index: Index, bindings: Bindings, calls: DataFrame, inherits:
     ways.add(rest.withColumn("type", _plain(c("last"))).join(index.typed, ["type", "want"]), 0.7, "receiver name")
     ways.add(rest.join(index.unique_method, "want"), 0.4, "unique method name")
 
-    meant = index.kept.write(plain.unionByName(ways.best()), "reached").select(*[c(x).alias(f"{x}_") for x in key], F.explode("keys").alias("target"), "confidence", "via")
+    meant = index.kept.write(plain.unionByName(ways.best()), "reached").select(*[c(x).alias(f"{x}_") for x in key], "keys", "folder", "confidence", "via")
     same = (c("path") == c("path_")) & (c("name") == c("want_")) & c("receiver").eqNullSafe(c("receiver_")) & c("cls").eqNullSafe(c("cls_")) & c("owner_parent").eqNullSafe(c("parent_"))
-    hit = at.join(meant, same).filter(c("owner").isNull() | (c("owner") != c("target")))
-    return hit.select("path", "line", "name", "receiver", "owner", "target", "confidence", "via")
+    return at.join(meant, same).select("path", "line", "name", "receiver", "owner", "keys", "folder", "confidence", "via")
 
 
 def _lookup_sql(p: str, asks: str) -> str:
