@@ -430,7 +430,10 @@ def g22(t):
     known = cb.calls(t).filter("receiver is null").distinct().join(index.symbols.select(c("short").alias("name")).distinct(), "name", "left_semi")
     at = enclosing(index.symbols, known)
     sites = at.select("path", c("name").alias("want"), c("owner_parent").alias("parent")).distinct().join(index.symbols.select("path", "language").distinct(), "path")
-    return index.close(resolve_names(index, bindings, sites).withColumn("keys", F.array_join("keys", " ")))
+    # a folder's definitions are one text before they come in, so that a row takes a copy
+    text = F.array_join("keys", " ").alias("keys")
+    found, folders = index.close(meanings(index, bindings, sites).withColumn("keys", text), index.folders.select("folder", "want", text))
+    return spread(found, folders)
 
 
 @query("c15_inheritance", f"WITH {_DEFINED_SQL}, {_NAMES_SQL} SELECT cls, base, line, CAST(confidence AS DOUBLE) AS confidence, via FROM inherits")
