@@ -446,4 +446,5 @@ def c15(t):
 SELECT * FROM (SELECT path, line, name, receiver, owner, unnest(keys) AS target, CAST(confidence AS DOUBLE) AS confidence, via FROM c JOIN best USING (r)) WHERE owner IS NULL OR owner <> target""")
 def c16(t):
     index, bindings = _scope(t)
-    return index.close(resolve_calls(index, bindings, cb.calls(t), inheritance(index, bindings, cb.bases(t))))
+    bindings = Bindings(*(index.kept.write(df, tag) for df, tag in zip(bindings, Bindings._fields, strict=True)))  # eight steps read them
+    return targets(*index.close(reached(index, bindings, cb.calls(t), inheritance(index, bindings, cb.bases(t))), index.folders))
