@@ -32,3 +32,17 @@ def test_plain_paths_are_normal(spark):
     cases = {"a/b": "a/b", "a/../b": "b", "a//b": "a/b", "./a": "a", "a/..": ".", "": ".", "a/": "a", "..a/b..": "..a/b..", "../a": "../a", "a/.": "a", "/a": "a"}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r.p: r.n for r in df.select("p", normal_path(df.p).alias("n")).collect()} == cases
+
+
+def test_files_of_folders_come_in_by_many_tasks(spark):
+    """Twelve scopes of a folder are dealt out before its files come in, though adaptive plans would join them in one task."""
+    files, imports, go = files_of(spark, PATHS), imports_of(spark, ROWS), spark.createDataFrame([("svc", "ex.org/svc")], "dir string, module string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        scopes = M.bind(imports, M.resolve_modules(files, imports, go)).modules
+        rows = scopes.filter("local = 'g'").selectExpr("path", "target", "spark_partition_id() AS task").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(rows) == len({(r.path, r.target) for r in rows}) == 144
+    assert len({r.task for r in rows}) > 1
